@@ -14,13 +14,15 @@ from fieldlink.operators.grid import near_join
 KEY = ["field_id"]
 
 
-def pairs_within(components: DataFrame, radius_arcsec: float) -> DataFrame:
+def pairs_within(components: DataFrame, radius_arcsec: float, carry: tuple = ()) -> DataFrame:
     """Unordered pairs i<j of a field not further apart than a radius.
 
     Cells are laid out in arcsec because fields may differ in pixel scale.
+    ``carry`` names attributes that ride along as ``name_1`` and ``name_2``, which
+    saves joining the pairs to the components again.
     """
     scale = F.col("pixel_scale")
-    cols = ["component_index", "x", "y"]
+    cols = ["component_index", "x", "y", *carry]
     left = components.select(
         "field_id", "pixel_scale", *[F.col(c).alias(c + "_1") for c in cols],
         (F.col("x") * scale).alias("_ax"), (F.col("y") * scale).alias("_ay"),
@@ -35,12 +37,11 @@ def pairs_within(components: DataFrame, radius_arcsec: float) -> DataFrame:
         .filter(F.col("component_index_1") < F.col("component_index_2"))
         .withColumn("distance_arcsec", F.sqrt(dx * dx + dy * dy))
         .filter(F.col("distance_arcsec") <= radius_arcsec)
-        .select("field_id", "component_index_1", "component_index_2", "pixel_scale",
-                "x_1", "y_1", "x_2", "y_2", "distance_arcsec")
+        .drop("_ax", "_ay", "_bx", "_by")
     )
 
 
-def candidate_pairs(components: DataFrame, cfg: Config) -> DataFrame:
+def candidate_pairs(components: DataFrame, cfg: Config, carry: tuple = ()) -> DataFrame:
     """Pairs within the absolute radius and within the elliptical beam distance."""
     a = cfg.association
     radius = a.max_pair_beams * cfg.beam.long_axis
@@ -49,17 +50,17 @@ def candidate_pairs(components: DataFrame, cfg: Config) -> DataFrame:
     scale = F.col("pixel_scale")
     distance = g.beam_distance((F.col("x_2") - F.col("x_1")) * scale, (F.col("y_2") - F.col("y_1")) * scale, cfg.beam)
     return (
-        pairs_within(components, radius)
+        pairs_within(components, radius, carry)
         .withColumn("distance_beam", distance)
         .filter(F.col("distance_beam") <= a.max_pair_beams)
     )
 
 
-def legacy_candidate_pairs(components: DataFrame, cfg: Config) -> DataFrame:
+def legacy_candidate_pairs(components: DataFrame, cfg: Config, carry: tuple = ()) -> DataFrame:
     """Pairs within the circular radius of the older scoring path."""
     gcfg = cfg.legacy
     radius = min(gcfg.max_pair_arcsec, gcfg.max_pair_beams * cfg.beam.long_axis)
-    return pairs_within(components, radius)
+    return pairs_within(components, radius, carry)
 
 
 def complete_pairs(components: DataFrame) -> DataFrame:
