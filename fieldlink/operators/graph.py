@@ -66,7 +66,8 @@ def _fingerprint(edges: DataFrame, keys: list[str]) -> tuple:
 def cluster(nodes: DataFrame, edges: DataFrame, keys: list[str], node: str, src: str, dst: str, label: str) -> DataFrame:
     """Every node with its component label; a node without edges is its own component."""
     found = component_labels(edges, keys, src, dst).withColumnRenamed("node", node)
-    return nodes.join(found, keys + [node], "left").withColumn(label, F.coalesce("label", node)).drop("label")
+    joined = nodes.join(found, keys + [node], "left").withColumn("_label", F.coalesce("label", node))
+    return joined.drop("label").withColumnRenamed("_label", label)
 
 
 def greedy_matching(
