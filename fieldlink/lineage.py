@@ -1,28 +1,33 @@
-"""Cutting lineage in iterative jobs through the cluster's shared folder."""
+"""Cutting lineage through written tables in the cluster's shared folder."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by the session; a temporary one only where none is set (tests)."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current
-    folder = configured or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    spark.sparkContext.setCheckpointDir(folder)
-    return folder
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the session names in spark.checkpoint.dir; a temporary one only where none is set (tests)."""
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not configured:
+        configured = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        spark.sparkContext.setCheckpointDir(configured)
+    return configured
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write a frame to the reliable checkpoint folder and read on from there.
+    """Write a frame to the shared folder as a table and read on from there.
 
-    A lost executor then recomputes from the written files, not from the whole
-    history of the loop.
+    A lost executor then reads the files again instead of repeating the history.
+    A written table also has a known size, so the planner broadcasts it only
+    when it is small; a checkpointed RDD keeps multiplied size estimates instead.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/fieldlink-{uuid.uuid4().hex}"
+    df.write.mode("error").parquet(path)
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return spark.read.schema(df.schema).parquet(path)

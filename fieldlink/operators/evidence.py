@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from fieldlink.config import FWHM_PER_SIGMA, MIDDLE_SIGMA, STRONG_SIGMA, WEAK_SIGMA, Config
 from fieldlink.functions import geometry as g
 from fieldlink.functions.text import tags
+from fieldlink.lineage import cut
 from fieldlink.operators import raster
 from fieldlink.operators.pairs import candidate_pairs
 
@@ -276,7 +277,7 @@ def path_evidence(edges: DataFrame, snr: DataFrame, cfg: Config) -> DataFrame:
         *PAIR, "distance_pix", "pixel_scale", F.col("directional_beam_arcsec").alias("along_beam"),
         F.when(angle.isNotNull(), g.beam_projection(angle + 90.0, cfg.beam)).otherwise(cfg.beam.size_arcsec).alias("across_beam"),
     )
-    work = attributes.join(read, PAIR, "left").select(
+    work = cut(attributes.join(read, PAIR, "left")).select(
         *attributes.columns,
         F.coalesce("line", F.array().cast("array<double>")).alias("line"),
         F.coalesce("rline", F.array().cast("array<double>")).alias("rline"),
@@ -482,7 +483,9 @@ def score_edges(components: DataFrame, snr: DataFrame | None, cfg: Config) -> Da
     """All evidence, the score and the class of every candidate pair."""
     edges = contour_evidence(geometric_evidence(candidate_edges(components, cfg), cfg), cfg)
     if snr is not None:
-        edges = edges.join(path_evidence(edges, snr, cfg), PAIR)
+        # Pairs are read twice below (their samples and the join back).
+        edges = cut(edges)
+        edges = cut(edges.join(path_evidence(edges, snr, cfg), PAIR))
     else:
         edges = edges.select("*", *[F.lit(v).alias(k) for k, v in NO_PATH.items()])
     edges = classify_edges(association_score(unresolved_veto(artifact_penalties(edges, cfg), cfg), cfg), cfg)

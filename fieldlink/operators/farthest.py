@@ -52,8 +52,9 @@ def largest_distance(points: DataFrame, keys: list[str], name: str) -> DataFrame
     """
     sizes = points.groupBy(*keys).agg(F.count("*").alias("_n"))
     sized = points.select(*keys, "px", "py").join(sizes, keys)
+    lonely = sizes.filter(F.col("_n") == 1).select(*keys, F.lit(0.0).alias(name))
     few = (
-        sized.filter(F.col("_n") <= SMALL_SET).groupBy(*keys)
+        sized.filter(F.col("_n").between(2, SMALL_SET)).groupBy(*keys)
         .agg(longest(F.collect_list(F.struct("px", "py"))).alias(name))
     )
     many = sized.filter(F.col("_n") > SMALL_SET).withColumn(
@@ -73,4 +74,4 @@ def largest_distance(points: DataFrame, keys: list[str], name: str) -> DataFrame
         return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, name: [_diameter(pdf[["px", "py"]].to_numpy(float))]})
 
     outlines = many.groupBy(*keys, "_chunk").applyInPandas(corners, f"{key_schema}, px double, py double")
-    return few.unionByName(outlines.groupBy(*keys).applyInPandas(span, f"{key_schema}, {name} double"))
+    return lonely.unionByName(few).unionByName(outlines.groupBy(*keys).applyInPandas(span, f"{key_schema}, {name} double"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from fieldlink.config import MIDDLE_SIGMA, WEAK_SIGMA, Config
 from fieldlink.functions import geometry as g
+from fieldlink.lineage import cut
 from fieldlink.operators.cluster import GROUP, inner_edges
 from fieldlink.operators.farthest import largest_distance
 from fieldlink.operators.ranking import running_total
@@ -55,6 +56,9 @@ def region_sets(chosen: DataFrame, labels: DataFrame, pixels: DataFrame) -> Data
     )
 
 
+MOMENTS = ("0", "x", "y", "xx", "xy", "yy")
+
+
 def weighted_sums(x: Column, y: Column, w: Column, tag: str) -> list[Column]:
     return [F.sum(e).alias(f"{tag}{n}") for n, e in
             {"0": w, "x": w * x, "y": w * y, "xx": w * x * x, "xy": w * x * y, "yy": w * y * y}.items()]
@@ -66,34 +70,32 @@ def covariance_of(tag: str) -> list[Column]:
 
 
 def region_moments(mask: DataFrame) -> DataFrame:
-    """Area, box, flux and intensity-weighted second moments per support set.
+    """Area, box, flux and intensity-weighted second moments per support set, in one pass.
 
-    Weights are the value above the faintest pixel of the set; without any such
-    contrast every pixel counts the same.
+    Weights are the value above the faintest pixel of the set, so their sums
+    follow from the sums over value and over position.  Without any contrast
+    every pixel counts the same.
     """
     key = ["field_id", "set_id"]
-    frame = mask.groupBy(*key).agg(
+    x, y, v = F.col("x").cast("double"), F.col("y").cast("double"), F.col("value")
+    seen = F.when(v.isNotNull(), 1.0).otherwise(0.0)
+    sums = mask.groupBy(*key).agg(
         F.count("*").alias("mask_n"), F.min("x").alias("mx0"), F.min("y").alias("my0"), F.max("x").alias("mx1"), F.max("y").alias("my1"),
         F.min("value").alias("_low"), F.sum("value").alias("mask_sum"), F.max("value").alias("mask_peak"),
+        *weighted_sums(x, y, F.coalesce(v, F.lit(0.0)), "_v"), *weighted_sums(x, y, seen, "_s"), *weighted_sums(x, y, F.lit(1.0), "_u"),
     )
-    # Coordinates relative to the box keep the sums small.
-    placed = mask.join(frame, key).select(
-        *key, (F.col("x") - F.col("mx0")).cast("double").alias("rx"), (F.col("y") - F.col("my0")).cast("double").alias("ry"),
-        F.coalesce(F.col("value") - F.col("_low"), F.lit(0.0)).alias("w"),
-    )
-    sums = placed.groupBy(*key).agg(
-        *weighted_sums(F.col("rx"), F.col("ry"), F.col("w"), "_w"), *weighted_sums(F.col("rx"), F.col("ry"), F.lit(1.0), "_u")
-    )
-    flat = F.col("_w0") <= 0
+    low = F.coalesce("_low", F.lit(0.0))
+    weighed = sums.select("*", *[(F.col(f"_v{n}") - low * F.col(f"_s{n}")).alias(f"_w{n}") for n in MOMENTS])
+    flat = F.col("mask_peak").isNull() | (F.col("mask_peak") <= F.col("_low"))
     parts = [F.when(flat, u).otherwise(w) for u, w in zip(covariance_of("_u"), covariance_of("_w"))]
-    return frame.join(sums.select(*key, *[p.alias(n) for p, n in zip(parts, ("k00", "k01", "k11"))]), key)
+    keep = [*key, "mask_n", "mx0", "my0", "mx1", "my1", "mask_sum", "mask_peak"]
+    return weighed.select(*keep, *[p.alias(n) for p, n in zip(parts, ("k00", "k01", "k11"))])
 
 
-def region_las(mask: DataFrame) -> DataFrame:
+def region_las(mask: DataFrame, sizes: DataFrame) -> DataFrame:
     """Largest pixel distance per set, on at most 1000 pixels taken evenly in raster order."""
     key = ["field_id", "set_id"]
-    sizes = mask.groupBy(*key).agg(F.count("*").alias("_n"))
-    spots = mask.select(*key, "y", "x").join(sizes, key)
+    spots = mask.select(*key, "y", "x").join(sizes.select(*key, F.col("mask_n").alias("_n")), key)
     small = spots.filter(F.col("_n") <= LAS_SAMPLES).select(*key, "y", "x")
     ranked = running_total(spots.filter(F.col("_n") > LAS_SAMPLES), key, [F.col("y")], [F.col("y"), F.col("x")], "_r")
     step = (F.col("_n") - 1) / F.lit(float(LAS_SAMPLES - 1))
@@ -103,12 +105,17 @@ def region_las(mask: DataFrame) -> DataFrame:
         i = near + d
         hit = hit | ((i >= 0) & (i < LAS_SAMPLES - 1) & (F.floor(i * step) == F.col("_r")))
     sampled = ranked.filter(hit | (F.col("_r") == F.col("_n") - 1)).select(*key, "y", "x")
-    # Only the two ends of an image row can belong to the farthest pair.
+    # Only the two ends of an image row can belong to the farthest pair; at most
+    # 1000 rows are left per set, so its ends fit one array.
     ends = small.unionByName(sampled).groupBy(*key, "y").agg(F.min("x").alias("a"), F.max("x").alias("b"))
-    points = ends.select(*key, F.col("y").cast("double").alias("py"), F.explode(F.array_distinct(F.array("a", "b"))).alias("_x")).select(
-        *key, F.col("_x").cast("double").alias("px"), "py"
-    )
-    return largest_distance(points, key, "mask_las_pix")
+    rows = ends.groupBy(*key).agg(F.collect_list(F.struct(F.col("y").cast("double").alias("y"), F.col("a").cast("double").alias("a"), F.col("b").cast("double").alias("b"))).alias("_rows"))
+
+    def reach(p, q):
+        across = F.greatest(q["b"] - p["a"], p["b"] - q["a"])
+        return F.pow(across, 2) + F.pow(p["y"] - q["y"], 2)
+
+    per_row = F.transform("_rows", lambda p: F.array_max(F.transform("_rows", lambda q: reach(p, q))))
+    return rows.select(*key, F.sqrt(F.array_max(per_row)).alias("mask_las_pix"))
 
 
 # ---- members and edges ------------------------------------------------------
@@ -219,15 +226,18 @@ def _box_or_points(pad: Column) -> Column:
 
 def shape_groups(members: DataFrame, labels: DataFrame, pixels: DataFrame, fields: DataFrame, cfg: Config, pad_arcsec: float | None = None) -> DataFrame:
     """Box, centroid, size and moments per group."""
-    chosen = supports(members)
-    mask = region_sets(chosen, labels, pixels)
-    per_set = region_moments(mask).join(region_las(mask), ["field_id", "set_id"])
+    chosen = cut(supports(members))
+    mask = cut(region_sets(chosen, labels, pixels))
+    moments = cut(region_moments(mask))
+    per_set = moments.join(region_las(mask, moments), ["field_id", "set_id"])
     group_set = chosen.select(*GROUP, "set_id", "support_pixels_2p5sigma", "support_pixels_2sigma").distinct()
     far = largest_distance(members.select(*GROUP, F.col("x").alias("px"), F.col("y").alias("py")), GROUP, "point_las_pix")
     frame = (
         member_sums(members).join(far, GROUP).join(group_set, GROUP, "left").join(per_set, ["field_id", "set_id"], "left")
         .join(fields.drop("pixel_scale", "rms", "mean"), "field_id")
     )
+    # One row per group from here on: write it, so the rules below plan and run on a plain scan.
+    frame = cut(frame)
     scale = F.col("pixel_scale")
     pad = F.rint((2.5 * cfg.beam.size_arcsec if pad_arcsec is None else pad_arcsec) / scale)
     by_mask, by_points = F.col("mask_n") >= 3, F.col("n_gaussians") >= 2
@@ -269,7 +279,7 @@ def measure_groups(
     """
     shaped = shape_groups(members, labels, pixels, fields, cfg)
     inner = inner_edges(edges, members.select("field_id", "component_index", "gid"))
-    frame = shaped.join(edge_sums(inner), GROUP, "left")
+    frame = cut(shaped.join(edge_sums(inner), GROUP, "left"))
     zero = [c for c in ("n_edges", "n_strong_edges", "n_weak_edges", "n_only_2sigma_edges")]
     score = ["association_score_mean", "association_score_min", "association_score_max", "_bridge", "_ridge"]
     flags = ["_contour", *[f"_f_{f}" for f in FLAGS]]
