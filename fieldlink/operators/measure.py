@@ -271,13 +271,13 @@ def shape_groups(members: DataFrame, labels: DataFrame, pixels: DataFrame, field
 
 def measure_groups(
     members: DataFrame, edges: DataFrame, labels: DataFrame, pixels: DataFrame, fields: DataFrame, cfg: Config,
-    marks: DataFrame | None = None,
+    marks: DataFrame | None = None, shaped: DataFrame | None = None,
 ) -> DataFrame:
     """Group table from members (components with gid) and decided edges.
 
     ``marks`` may force groups to be suspicious: (field_id, gid, force_suspicious).
     """
-    shaped = shape_groups(members, labels, pixels, fields, cfg)
+    shaped = shape_groups(members, labels, pixels, fields, cfg) if shaped is None else shaped
     inner = inner_edges(edges, members.select("field_id", "component_index", "gid"))
     frame = cut(shaped.join(edge_sums(inner), GROUP, "left"))
     zero = [c for c in ("n_edges", "n_strong_edges", "n_weak_edges", "n_only_2sigma_edges")]

@@ -1,0 +1 @@
+"""Whole dataflows built from the operators."""
