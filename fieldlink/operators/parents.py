@@ -204,7 +204,7 @@ def morph_table(groups: DataFrame, snr: DataFrame, labels: DataFrame, fields: Da
     table = table.drop("major_axis_beam").withColumn("major_axis_beam", major) if "major_axis_beam" not in groups.columns else table.withColumn("major_axis_beam", major)
     shape = F.when(F.coalesce("axis_ratio", F.lit(1.0)) > 0, F.col("major_axis_beam") / F.greatest(F.coalesce("axis_ratio", F.lit(1.0)), F.lit(1e-6)))
     table = table.withColumn("minor_axis_beam", shape).withColumn("extended_evidence", evidence_count(cfg))
-    sized = cut(table.join(fields.select("field_id", "width", "height"), "field_id"))
+    sized = cut(table.drop("width", "height").join(fields.select("field_id", "width", "height"), "field_id"))
     clamp = lambda c, size: F.greatest(F.lit(0.0), F.least(F.col(c), F.col(size) - 1.0))
     slim = labels.select("field_id", "threshold", "y", "x", "label")
     read = raster.at_points(sized.select(*GID, clamp("centroid_x", "width").alias("x"), clamp("centroid_y", "height").alias("y")), snr, slim, cfg.segmentation, "group_index")

@@ -6,6 +6,7 @@ common table expressions.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, functions as F
@@ -19,6 +20,30 @@ def cte(name: str, text: str, *needs: str, columns: str = "") -> None:
     CTES[name] = (needs, text, columns)
 
 
+_SHARED: dict[tuple, object] = {}
+
+
+def shared(fn):
+    """Build tables that several queries start from once per session.
+
+    They are written tables, so later queries read them like any input.  The
+    bench calls :func:`forget` before each timing.
+    """
+
+    @functools.wraps(fn)
+    def once(spark, sf):
+        key = (fn.__module__, fn.__name__, spark.sparkContext.applicationId, sf)
+        if key not in _SHARED:
+            _SHARED[key] = fn(spark, sf)
+        return _SHARED[key]
+
+    return once
+
+
+def forget() -> None:
+    _SHARED.clear()
+
+
 def with_ctes(body: str, *needs: str) -> str:
     ordered: list[str] = []
 

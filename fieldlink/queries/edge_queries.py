@@ -6,7 +6,7 @@ from fieldlink import fixtures as fx
 from fieldlink.functions.morphology import with_morphology
 from fieldlink.lineage import cut
 from fieldlink.operators import evidence, raster
-from fieldlink.queries.base import cte, query, r, rounded
+from fieldlink.queries.base import cte, query, r, rounded, shared
 from fieldlink.queries.raster_queries import snr as snr_of
 
 PAIR = evidence.PAIR
@@ -123,6 +123,7 @@ def wide_edges(spark, sf):
     return evidence.score_edges(with_morphology(fx.components(spark, sf), fx.WIDE), None, fx.WIDE)
 
 
+@shared
 def placed_components(spark, sf):
     """Small-raster components with shape, S/N and labels; also the S/N and labels themselves."""
     fields = fx.fields(spark, sf)

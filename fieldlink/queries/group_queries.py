@@ -6,7 +6,7 @@ from fieldlink import fixtures as fx
 from fieldlink.lineage import cut
 from fieldlink.operators import cluster, measure
 from fieldlink.operators.graph import cluster as graph_cluster
-from fieldlink.queries.base import cte, query, r, rounded
+from fieldlink.queries.base import cte, query, r, rounded, shared
 from fieldlink.queries.edge_queries import evidence, placed_components, wide_edges
 
 
@@ -52,8 +52,9 @@ group_ctes("w", "wide_edges", "components")
 group_ctes("s", "small_edges", "placed")
 
 
-@query("strong_components", "SELECT field_id, component_index, coalesce(label, component_index) AS label FROM components c LEFT JOIN w_cores k USING (field_id) WHERE false",
-       ("components", "w_cores"))
+@query("strong_components", """
+SELECT c.field_id, c.component_index, coalesce(k.label, c.component_index) AS label
+FROM components c LEFT JOIN w_cores k ON k.field_id = c.field_id AND k.node = c.component_index""", ("components", "w_cores"))
 def strong_components(spark, sf):
     comps = fx.components(spark, sf)
     edges = cut(wide_edges(spark, sf).filter("edge_type = 'strong'").select("field_id", "component_index_1", "component_index_2"))
@@ -61,16 +62,11 @@ def strong_components(spark, sf):
                          "component_index_1", "component_index_2", "label")
 
 
-from fieldlink.queries import base  # noqa: E402
-
-base.ORACLES["strong_components"] = base.with_ctes("""
-SELECT c.field_id, c.component_index, coalesce(k.label, c.component_index) AS label
-FROM components c LEFT JOIN w_cores k ON k.field_id = c.field_id AND k.node = c.component_index""", "components", "w_cores")
-
-
+@shared
 def clustered(spark, sf):
     edges = cut(wide_edges(spark, sf).drop("x_1", "y_1", "x_2", "y_2"))
-    return cluster.cluster_components(fx.components(spark, sf), edges, fx.WIDE)
+    decided, members, groups = cluster.cluster_components(fx.components(spark, sf), edges, fx.WIDE)
+    return cut(decided), cut(members), cut(groups)
 
 
 @query("weak_attachment", """
@@ -179,6 +175,7 @@ cte("s_edgestat", edge_group_sql("s_final", "s_members"), "s_final", "s_members"
 cte("s_judged", judged_sql("s_shape", "s_edgestat"), "s_shape", "s_edgestat")
 
 
+@shared
 def small_groups(spark, sf):
     """(components with gid, edges, groups, snr, labels, pixels, fields) of the small rasters."""
     from fieldlink.operators.evidence import score_edges

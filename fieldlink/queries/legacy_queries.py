@@ -6,7 +6,7 @@ from fieldlink import fixtures as fx
 from fieldlink.lineage import cut
 from fieldlink.operators import diagnostics, display, legacy
 from fieldlink.operators.cluster import inner_edges
-from fieldlink.queries.base import cte, query, r, rounded
+from fieldlink.queries.base import cte, query, r, rounded, shared
 from fieldlink.queries.edge_queries import placed_components
 from fieldlink.queries.group_queries import small_groups, support_ctes
 
@@ -41,6 +41,7 @@ cte("m_placed", "SELECT p.*, m.gid FROM placed p JOIN m_members m USING (field_i
 support_ctes("m", "m_placed")
 
 
+@shared
 def merged(spark, sf):
     comps, snr, labels = placed_components(spark, sf)
     edges = cut(legacy.merge_edges(comps, snr, fx.SMALL))

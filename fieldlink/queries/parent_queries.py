@@ -7,7 +7,7 @@ from fieldlink.config import Config
 from fieldlink.functions import geometry as g
 from fieldlink.lineage import cut
 from fieldlink.operators import diagnostics, display, hosts as host_ops, parents, seeds
-from fieldlink.queries.base import cte, query, r, rounded
+from fieldlink.queries.base import cte, query, r, rounded, shared
 from fieldlink.queries.catalog_queries import SEP
 
 CFG = Config()
@@ -96,10 +96,10 @@ def balanced(ratio: str, limit: str, missing: str) -> str:
 cte("pcores", """
 SELECT field_id, i, j, arg_min(struct_pack(x := cx, y := cy), d*1000000 + gi) AS core FROM (
  SELECT q.field_id, q.i, q.j, c.gi, c.cx, c.cy, sqrt(pow(c.cx - (a.cx+b.cx)/2, 2) + pow(c.cy - (a.cy+b.cy)/2, 2)) AS d,
-  ((c.cx-a.cx)*(b.cx-a.cx) + (c.cy-a.cy)*(b.cy-a.cy)) AS dot, abs((c.cx-a.cx)*(b.cy-a.cy) - (c.cy-a.cy)*(b.cx-a.cx)) AS cross, pow(b.cx-a.cx,2) + pow(b.cy-a.cy,2) AS l2
+  ((c.cx-a.cx)*(b.cx-a.cx) + (c.cy-a.cy)*(b.cy-a.cy)) AS dot, abs((c.cx-a.cx)*(b.cy-a.cy) - (c.cy-a.cy)*(b.cx-a.cx)) AS crs, pow(b.cx-a.cx,2) + pow(b.cy-a.cy,2) AS l2
  FROM pboxpairs q JOIN pgroups a ON a.field_id = q.field_id AND a.gi = q.i JOIN pgroups b ON b.field_id = q.field_id AND b.gi = q.j
  JOIN pgroups c ON c.field_id = q.field_id AND c.compact AND c.gi <> q.i AND c.gi <> q.j AND abs(c.cx - (a.cx+b.cx)/2) <= 18 AND abs(c.cy - (a.cy+b.cy)/2) <= 18)
-WHERE d <= 18 AND l2 > 0 AND dot/l2 BETWEEN 0.15 AND 0.85 AND cross/sqrt(l2) <= 18 GROUP BY 1, 2, 3""", "pboxpairs", "pgroups")
+WHERE d <= 18 AND l2 > 0 AND dot/l2 BETWEEN 0.15 AND 0.85 AND crs/sqrt(l2) <= 18 GROUP BY 1, 2, 3""", "pboxpairs", "pgroups")
 cte("ppairs", f"""
 SELECT *, CAST(axis >= 0.7 AS INT) + CAST(facing >= 0.6 AS INT) + CAST(coalesce(fr <= 10, false) AS INT) + CAST(coalesce(sr <= 5, false) AS INT) + CAST(core IS NOT NULL AS INT) + CAST(CASE WHEN gb <= 5 THEN bothseed ELSE bothext END AS INT) AS support,
  1.5*greatest(0, least(1, 1 - gb/10)) + 1.4*axis + facing + 0.7*{balanced('fr', '10', '0.35')} + 0.6*{balanced('sr', '5', '0.35')} + 0.8*CAST(core IS NOT NULL AS INT) AS score
@@ -206,6 +206,7 @@ cte("hits", """
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY field_id, i, j, role ORDER BY sep, host_id) AS hr FROM (SELECT *, min(pr) OVER (PARTITION BY field_id, i, j, role) AS first FROM allhits) WHERE pr = first) WHERE hr <= 20""", "allhits")
 
 
+@shared
 def pair_places(spark, sf):
     table = cut(seeds.seed_table(groups(spark, sf), CFG))
     met = seeds.near_boxes(table, F.lit(10.0), CFG, 1.5, 10.0)
@@ -213,9 +214,10 @@ def pair_places(spark, sf):
     return cut(host_ops.lookups(pairs, CFG))
 
 
+@shared
 def cross(spark, sf):
     places = pair_places(spark, sf)
-    return places, host_ops.cross_match(places, near_hosts(spark, sf), CFG)
+    return places, cut(host_ops.cross_match(places, near_hosts(spark, sf), CFG))
 
 
 @query("host_cross_match", f"""SELECT field_id, i AS group_index_1, j AS group_index_2, role, host_id, catalogue, {r('sep', 'separation_arcsec', 3)} FROM hits""", ("hits",))
@@ -258,6 +260,7 @@ def lobe_peak_host_scores(spark, sf):
 
 # ---- whole stage 2 on the small rasters --------------------------------------
 
+@shared
 def linked(spark, sf):
     from fieldlink.plans.stage1 import associate
     from fieldlink.plans.stage2 import link_parents

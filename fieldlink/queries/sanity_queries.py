@@ -6,7 +6,7 @@ from fieldlink import fixtures as fx
 from fieldlink.lineage import cut
 from fieldlink.operators import sanity
 from fieldlink.operators.cluster import inner_edges
-from fieldlink.queries.base import cte, query, r, rounded
+from fieldlink.queries.base import cte, query, r, rounded, shared
 from fieldlink.queries.group_queries import small_groups
 
 cte("s_peaks", """
@@ -77,6 +77,7 @@ def edge_cut_risk(spark, sf):
     return rounded(inner.select("field_id", "gid", "component_index_1", "component_index_2", sanity.edge_cut_risk(fx.SMALL).alias("cut_risk")), 4)
 
 
+@shared
 def checked(spark, sf):
     from fieldlink.plans.stage1 import associate
 
