@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from fieldlink.lineage import cut
+from fieldlink.lineage import cut, drop
 
 
 def _star(edges: DataFrame, keys: list[str], large: bool) -> DataFrame:
@@ -44,7 +44,8 @@ def component_labels(edges: DataFrame, keys: list[str], src: str, dst: str, max_
     for _ in range(max_rounds):
         if seal[0] == 0:
             break
-        work = cut(_star(_star(work, keys, large=True), keys, large=False))
+        before, work = work, cut(_star(_star(work, keys, large=True), keys, large=False))
+        drop(before)
         fresh = _fingerprint(work, keys)
         if fresh == seal:
             break
