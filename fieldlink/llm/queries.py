@@ -61,3 +61,10 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fieldlink.llm.fingerprints import fingerprint_edits
 
     return fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fieldlink.llm.near_dup import components
+
+    return components(table(spark, sf_dir, "documents"), words=4, percent=80)
