@@ -21,13 +21,14 @@ components is tested, while pairs inside a component are never needed.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fieldlink.lineage import cut, drop
 from fieldlink.llm.common import slices
@@ -37,7 +38,6 @@ BANDS, ROWS = 36, 5
 SAMPLES = BANDS * ROWS
 BITS = 512
 WORDS = BITS // 64
-NO_ID = -(2**63)
 
 _rng = np.random.default_rng(20240607)
 _XOR = _rng.integers(0, 2**64, SAMPLES, np.uint64)
@@ -172,6 +172,27 @@ def components(docs: DataFrame, words: int, percent: int = 80, id_col: str = "do
     part, but name a component (as null) only if nobody else does.  ``kept`` is
     null-safe equality of id and ``component_id``, so equal rows share it.
     """
+    return grouped(docs, words, percent, id_col, text_col).select(F.col("_id").alias(id_col), "n_shingles", "component_id", "kept")
+
+
+def one_of_each(docs: DataFrame, words: int, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, that stay when one document of every component does.
+
+    It is the one with the smallest id; of several rows with that id, or of a
+    component without any id, one row.  Texts without words all stay.
+    """
+    tag = uuid.uuid4().hex[:8]
+    names = [f"id{tag}", f"th{tag}", f"label{tag}"]
+    stay = grouped(docs, words, percent, id_col, text_col).filter("kept").select("_id", "_th", "label").distinct().toDF(*names)
+    rows = docs.withColumn(f"text{tag}", F.xxhash64(text_col))
+    rows = rows.join(stay, (F.col(f"text{tag}") == F.col(names[1])) & F.col(f"`{id_col}`").eqNullSafe(F.col(names[0])))
+    rows = rows.withColumn(names[2], F.coalesce(names[2], -1 - F.monotonically_increasing_id()))
+    place = Window.partitionBy(names[2], names[0]).orderBy(f"text{tag}")
+    return rows.withColumn(f"n{tag}", F.row_number().over(place)).filter(f"n{tag} = 1").select(*(f"`{c}`" for c in docs.columns))
+
+
+def grouped(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """(_id, _th, n_shingles, label, component_id, kept): ``label`` numbers components, null without words; ``_th`` is a hash of the text."""
     kind = docs.schema[id_col].dataType.simpleString()
     near = most_bits(percent / 100)
     rows = cut(signatures(docs, words, id_col, text_col))
@@ -191,15 +212,15 @@ def components(docs: DataFrame, words: int, percent: int = 80, id_col: str = "do
     drop(members)
     named = nodes.select("_set", "node", F.col("_rep.order").alias("low"))
     if labels is None:
-        found = named.select("_set", F.col("low").alias("first"))
+        found = named.select("_set", F.col("node").alias("label"), F.col("low").alias("first"))
     else:
         named = named.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         low = named.groupBy("label").agg(F.min("low").alias("first"))
-        found = named.join(low, "label").select("_set", "first")
+        found = named.join(low, "label").select("_set", "label", "first")
     first = F.when(F.col("_set").isNull(), F.col("_id")).when(F.col("first") < 2**63 - 1, F.col("first").cast(kind))
     return (
-        rows.select("_id", "n_shingles", "_set").join(found, "_set", "left").withColumn("component_id", first)
-        .select(F.col("_id").alias(id_col), "n_shingles", "component_id", F.col("_id").eqNullSafe(F.col("component_id")).alias("kept"))
+        rows.select("_id", "_th", "n_shingles", "_set").join(found, "_set", "left").withColumn("component_id", first)
+        .select("_id", "_th", "n_shingles", "label", "component_id", F.col("_id").eqNullSafe(F.col("component_id")).alias("kept"))
     )
 
 

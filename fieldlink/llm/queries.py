@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -68,3 +69,33 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fieldlink.llm.near_dup import components
 
     return components(table(spark, sf_dir, "documents"), words=4, percent=80)
+
+
+@query
+def op7_quality_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fieldlink.llm.quality import held_out, train, with_score
+
+    docs = table(spark, sf_dir, "documents")
+    scored = with_score(docs.select("doc_id", "text"), train(docs, table(spark, sf_dir, "labels"), fold=(4, 2)))
+    return scored.select("doc_id", held_out((4, 2)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query
+def op8_toxicity_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fieldlink.llm.quality import held_out
+    from fieldlink.llm.toxicity import train, with_score
+
+    docs = table(spark, sf_dir, "documents")
+    scored = with_score(docs.select("doc_id", "text"), train(docs, table(spark, sf_dir, "labels"), fold=(5, 0)))
+    return scored.select("doc_id", held_out((5, 0)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op3_tree_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fieldlink.llm.ann import search
+
+    return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+# No twin: its first stages are trained models.
+LLM_QUERIES["pipeline"] = corpus_pipeline.run
