@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 #: Bytes of text or ids that a Python worker looks at together.
-SLICE_BYTES = 16_000_000
+SLICE_BYTES = 8_000_000
 SLICE_ROWS = 8192
 
 

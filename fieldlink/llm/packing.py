@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from fieldlink.lineage import cut
 
 #: Pieces of one length are ranked in groups of about so many.
-RANK_GROUP = 20_000
+RANK_GROUP = 2_000
 
 
 class OpenBins:
