@@ -6,16 +6,20 @@
    36 bands of 5 samples miss a pair at similarity 0.8 with probability below 1e-6.
 3. The samples are folded into a parity bitmap (odd sketch).  The population count
    of the XOR of two bitmaps estimates a high similarity closely; pairs estimated
-   more than six standard deviations below the limit are let go.
+   more than five standard deviations below the limit are let go.
 4. What is left is confirmed on the full sets.
 
-Pairs inside a bucket are not listed.  Each node is first tied to the best of its
-buckets' smallest nodes.  After that only pairs between different components of a
-bucket matter, and of these at least one node is outside the bucket's largest
-component.  Such nodes are compared with the others by sketch inside the join:
-first the best pair per node and foreign component is confirmed, then, once
-components have grown, every pair still between components.  So every link between
-components is tested, while pairs inside a component are never needed.
+Pairs inside a bucket are not listed.  Each bucket has a hub, the node with most
+bucket-mates over all its bands (of a text and its copies that is mostly the text
+itself), and each node is first tied to the nearest of its hubs.  After that only
+pairs between different components of a bucket matter, and of these at least one
+node is outside the bucket's largest component.  Such nodes are compared with the
+others inside the join, by sketch and by a bound that is exact: shingles that no
+other node in question has cannot be common, so what two sets have in common is at
+most what is left of the smaller.  First the best pair per node and foreign
+component is confirmed, then, once components have grown, every pair still between
+components.  So every link between components is tested, while pairs inside a
+component are never needed.
 """
 
 from __future__ import annotations
@@ -35,13 +39,14 @@ from fieldlink.llm.common import slices
 from fieldlink.operators.graph import component_labels
 
 BANDS, ROWS = 36, 5
-SAMPLES = BANDS * ROWS
-BITS = 512
+#: Samples of a set (the first BANDS * ROWS make the bands), and bits of a sketch.
+SAMPLES = 768
+BITS = 1024
 WORDS = BITS // 64
 
 _rng = np.random.default_rng(20240607)
-_XOR = _rng.integers(0, 2**64, SAMPLES, np.uint64)
-_MUL = _rng.integers(0, 2**64, SAMPLES, np.uint64) | np.uint64(1)
+_XOR = _rng.integers(0, 2**32, SAMPLES, np.uint32)
+_MUL = _rng.integers(0, 2**32, SAMPLES, np.uint32) | np.uint32(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -78,10 +83,13 @@ def shingle_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
 
 def samples(hashes: np.ndarray) -> np.ndarray:
     """MinHash samples of a non-empty set."""
-    low = np.full(SAMPLES, np.uint64(2**64 - 1))
-    for at in range(0, len(hashes), 2048):
-        low = np.minimum(low, ((hashes[at : at + 2048, None] ^ _XOR) * _MUL).min(0))
-    return low
+    short = hashes.astype(np.uint32)
+    low = np.full(SAMPLES, np.uint32(2**32 - 1))
+    for at in range(0, len(short), 512):
+        block = short[at : at + 512, None] ^ _XOR
+        block *= _MUL
+        low = np.minimum(low, block.min(0))
+    return low.astype(np.uint64)
 
 
 def odd_sketch(sample: np.ndarray) -> np.ndarray:
@@ -92,7 +100,7 @@ def odd_sketch(sample: np.ndarray) -> np.ndarray:
 
 def band_keys(sample: np.ndarray) -> np.ndarray:
     key = np.arange(BANDS, dtype=np.uint64)
-    for column in sample.reshape(BANDS, ROWS).T:
+    for column in sample[: BANDS * ROWS].reshape(BANDS, ROWS).T:
         key = mix(key * _STEP + column)
     return key.view(np.int64)
 
@@ -104,8 +112,14 @@ def estimate(differing: float) -> float:
 
 
 def most_bits(similarity: float) -> int:
-    """The largest population count that still counts as near: six standard deviations below the limit."""
-    least = similarity - 6 * (similarity * (1 - similarity) / SAMPLES) ** 0.5
+    """The largest population count that still counts as near: five standard deviations below the limit.
+
+    Both the samples and the parities scatter: a pair at the limit is let go with probability 3e-7.
+    """
+    differing = 2 * SAMPLES * (1 - similarity)
+    left = np.exp(-2 * differing / BITS)
+    scatter = (BITS / 4 * (1 - left**2)) ** 0.5 / left / (2 * SAMPLES)
+    least = similarity - 5 * (similarity * (1 - similarity) / SAMPLES + scatter**2) ** 0.5
     return max((x for x in range(BITS) if estimate(x) >= least), default=0)
 
 
@@ -199,13 +213,13 @@ def grouped(docs: DataFrame, words: int, percent: int, id_col: str, text_col: st
     smallest = F.min(F.struct(F.coalesce(F.col("_id").cast("long"), F.lit(2**63 - 1)).alias("order"), "_th"))
     nodes = cut(
         rows.filter(F.col("_set").isNotNull()).groupBy("_set")
-        .agg(smallest.alias("_rep"), F.first("_sketch").alias("_sketch"), F.first("_bands").alias("_bands"))
+        .agg(smallest.alias("_rep"), F.first("n_shingles").alias("size"), F.first("_sketch").alias("_sketch"), F.first("_bands").alias("_bands"))
         .withColumn("node", F.monotonically_increasing_id())
     )
-    sketches = nodes.select("node", "_sketch")
+    sketches = nodes.select("node", "size", "_sketch")
     keys = nodes.select("node", F.explode("_bands").alias("band"))
-    heads = keys.groupBy("band").agg(F.min("node").alias("head"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    members = cut(keys.join(heads, "band"))
+    shared = keys.groupBy("band").agg(F.count("*").alias("mates")).filter("mates > 1")
+    members = cut(keys.join(shared, "band"))
     labels = None
     if not members.isEmpty():
         labels = _link(docs, nodes, members, sketches, words, percent, near, id_col, text_col)
@@ -234,15 +248,19 @@ def _link(docs, nodes, members, sketches, words, percent, near, id_col, text_col
     def near_pairs(pairs: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
         a, b = sketches.alias("a"), sketches.alias("b")
         return (
-            pairs.join(a, F.col("u") == F.col("a.node")).join(b, F.col("v") == F.col("b.node"))
+            pairs.join(a.drop("size"), F.col("u") == F.col("a.node")).join(b.drop("size"), F.col("v") == F.col("b.node"))
             .select("u", "v", *extra, _distance("a", "b").alias("d")).filter(F.col("d") <= near)
         )
 
-    stars = members.filter("node != head").select(F.col("node").alias("u"), F.col("head").alias("v")).distinct()
+    weights = members.groupBy("node").agg(F.sum("mates").alias("weight"))
+    weighed = members.join(weights, "node")
+    hubs = weighed.groupBy("band").agg(F.max(F.struct("weight", -F.col("node")))["col2"].alias("hub"))
+    stars = members.join(hubs, "band").select(F.col("node").alias("u"), (-F.col("hub")).alias("v")).filter("u != v").distinct()
     best = near_pairs(stars).groupBy("u").agg(F.min(F.struct("d", "v"))["v"].alias("v"))
     tested = [cut(best)]
     links = [cut(_confirm(tested[0], texts, words, percent))]
 
+    single = None
     for only_best in (True, False):
         labels = _labels(links)
         placed = members.select("band", "node")
@@ -250,13 +268,17 @@ def _link(docs, nodes, members, sketches, words, percent, near, id_col, text_col
         placed = cut(placed)
         sizes = placed.groupBy("band", "comp").count()
         mixed = sizes.groupBy("band").agg(F.max_by("comp", F.struct("count", "comp")).alias("big"), F.count("*").alias("n")).filter("n > 1").drop("n")
-        among = cut(placed.join(mixed, "band").join(sketches, "node"))
+        if single is None:
+            single = cut(_unshared(texts, placed.join(mixed, "band").select("node").distinct(), words))
+        among = placed.join(mixed, "band").join(sketches, "node").join(single, "node", "left")
+        among = cut(among.withColumn("common", F.col("size") - F.coalesce("single", F.lit(0))).drop("single").filter(100 * F.col("common") >= percent * F.col("size")))
         drop(placed)
         left, right = among.filter("comp != big").alias("l"), among.alias("r")
         once = (F.col("r.comp") == F.col("r.big")) | (F.col("l.node") < F.col("r.node"))
+        possible = (100 + percent) * F.least("l.common", "r.common") >= percent * (F.col("l.size") + F.col("r.size"))
         crossing = left.join(
-            right, (F.col("l.band") == F.col("r.band")) & (F.col("l.comp") != F.col("r.comp")) & once & (_distance("l", "r") <= near)
-        ).select(F.col("l.node").alias("u"), F.col("r.node").alias("v"), F.col("r.comp").alias("other"), _distance("l", "r").alias("d"))
+            right, (F.col("l.band") == F.col("r.band")) & (F.col("l.comp") != F.col("r.comp")) & once & possible & (_distance("l", "r") <= near)
+        ).select(F.col("l.node").alias("u"), F.col("r.node").alias("v"), F.col("r.comp").alias("other"), (_distance("l", "r") if only_best else F.lit(0)).alias("d"))
         crossing = crossing.select(F.least("u", "v").alias("v"), F.greatest("u", "v").alias("u"), F.col("u").alias("from"), "other", "d")
         for done in tested:
             crossing = crossing.join(done.select("u", "v"), ["u", "v"], "left_anti")
@@ -272,6 +294,20 @@ def _link(docs, nodes, members, sketches, words, percent, near, id_col, text_col
     return _labels(links)
 
 
+def _unshared(texts: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """(node, single): shingles of each of the nodes that no other of them has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1):
+            sets = shingle_sets(batch.column(1), words)
+            node = np.repeat(batch.column(0).to_numpy(), [len(s) for s in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.concatenate(sets).view(np.int64))], ["node", "shingle"])
+
+    rows = texts.join(nodes, "node", "left_semi").select("node", "_text").mapInArrow(run, "node long, shingle long")
+    alone = rows.groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("most")).filter("node = most")
+    return alone.groupBy("node").agg(F.count("*").alias("single"))
+
+
 def _labels(links: list[DataFrame]) -> DataFrame | None:
     edges = links[0]
     for more in links[1:]:
