@@ -99,3 +99,19 @@ def op3_tree_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # No twin: its first stages are trained models.
 LLM_QUERIES["pipeline"] = corpus_pipeline.run
+
+
+@query
+def op4_licence_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fieldlink.llm.licences import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
+def _licence_twin() -> str:
+    from fieldlink.llm.licences import oracle
+
+    return oracle()
+
+
+LLM_ORACLES["op4_licence_sentences"] = _licence_twin()
