@@ -7,13 +7,22 @@ from pyspark.sql import Column, DataFrame, functions as F
 from fieldlink.lineage import cut, drop
 
 
-def _star(edges: DataFrame, keys: list[str], large: bool) -> DataFrame:
-    """One contraction: every neighbour of a node is tied to the smallest one it can see."""
+#: Edge sets counted at no more rows than this contract within one task, without shuffles.
+ONE_TASK_EDGES = 200_000
+
+
+def _star(edges: DataFrame, keys: list[str], large: bool, small: bool) -> DataFrame:
+    """One contraction: every neighbour of a node is tied to the smallest one it can see.
+
+    ``small`` says that the edges were counted and fit one task.
+    """
+    fit = (lambda df: df.coalesce(1)) if small else (lambda df: df)
     both = edges.select(*keys, "u", "v")
     if large:
         both = both.unionByName(edges.select(*keys, F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         both = edges.select(*keys, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    both = fit(both)
     # Grouped minimum is combined map-side; the join back is a key join that
     # adaptive execution splits when one hub holds most neighbours.
     low = both.groupBy(*keys, "u").agg(F.min("v").alias("_low")).withColumn("_m", F.least("_low", "u"))
@@ -24,7 +33,7 @@ def _star(edges: DataFrame, keys: list[str], large: bool) -> DataFrame:
         out = tied.select(*keys, F.col("v").alias("u"), F.col("_m").alias("v")).unionByName(
             low.select(*keys, "u", F.col("_m").alias("v"))
         )
-    return out.filter(F.col("u") != F.col("v")).distinct()
+    return fit(out.filter(F.col("u") != F.col("v"))).distinct()
 
 
 def component_labels(edges: DataFrame, keys: list[str], src: str, dst: str, max_rounds: int = 60) -> DataFrame:
@@ -32,7 +41,8 @@ def component_labels(edges: DataFrame, keys: list[str], src: str, dst: str, max_
 
     Alternating large-star and small-star contractions; the loop ends when the
     edge set no longer changes, which happens after a number of rounds that grows
-    with the logarithm of the component size.
+    with the logarithm of the component size.  Rounds over few edges cost little
+    but their tasks, so they run in one; larger ones shuffle by node.
     """
     work = (
         edges.select(*keys, F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v"))
@@ -44,7 +54,7 @@ def component_labels(edges: DataFrame, keys: list[str], src: str, dst: str, max_
     for _ in range(max_rounds):
         if seal[0] == 0:
             break
-        before, work = work, cut(_star(_star(work, keys, large=True), keys, large=False))
+        before, work = work, cut(_contract(work, keys, small=seal[0] <= ONE_TASK_EDGES))
         drop(before)
         fresh = _fingerprint(work, keys)
         if fresh == seal:
@@ -56,6 +66,10 @@ def component_labels(edges: DataFrame, keys: list[str], src: str, dst: str, max_
     return work.select(*keys, F.col("u").alias("node"), F.col("v").alias("label")).unionByName(roots)
 
 
+def _contract(edges: DataFrame, keys: list[str], small: bool) -> DataFrame:
+    return _star(_star(edges, keys, True, small), keys, False, small)
+
+
 def _fingerprint(edges: DataFrame, keys: list[str]) -> tuple:
     row = edges.agg(
         F.count("*").alias("n"),
