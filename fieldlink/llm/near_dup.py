@@ -258,11 +258,10 @@ def _link(docs, nodes, members, sketches, words, percent, near, id_col, text_col
     stars = members.join(hubs, "band").select(F.col("node").alias("u"), (-F.col("hub")).alias("v")).filter("u != v").distinct()
     best = near_pairs(stars).groupBy("u").agg(F.min(F.struct("d", "v"))["v"].alias("v"))
     tested = [cut(best)]
-    links = [cut(_confirm(tested[0], texts, words, percent))]
+    found = cut(_confirm(tested[0], texts, words, percent))
 
-    single = None
+    labels, single = _labels(None, found), None
     for only_best in (True, False):
-        labels = _labels(links)
         placed = members.select("band", "node")
         placed = placed.join(labels, "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label") if labels is not None else placed.withColumn("comp", F.col("node"))
         placed = cut(placed)
@@ -289,9 +288,9 @@ def _link(docs, nodes, members, sketches, words, percent, near, id_col, text_col
         if pairs.isEmpty():
             break
         tested.append(pairs)
-        links.append(cut(_confirm(pairs, texts, words, percent)))
+        labels = _labels(labels, cut(_confirm(pairs, texts, words, percent)))
     drop(texts)
-    return _labels(links)
+    return labels
 
 
 def _unshared(texts: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
@@ -308,8 +307,11 @@ def _unshared(texts: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
     return alone.groupBy("node").agg(F.count("*").alias("single"))
 
 
-def _labels(links: list[DataFrame]) -> DataFrame | None:
-    edges = links[0]
-    for more in links[1:]:
-        edges = edges.unionByName(more)
-    return None if edges.isEmpty() else component_labels(edges, [], "u", "v")
+def _labels(labels: DataFrame | None, links: DataFrame) -> DataFrame | None:
+    """The labels after more links: what is known enters as one tie per node, so few rounds are left."""
+    if links.isEmpty():
+        return labels
+    edges = links.select("u", "v")
+    if labels is not None:
+        edges = edges.unionByName(labels.filter("node != label").select(F.col("node").alias("u"), F.col("label").alias("v")))
+    return component_labels(edges, [], "u", "v")
