@@ -11,6 +11,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+#: Widens a cell a little, so that rounding of scaled positions loses no pair at the very limit.
+ROUNDING = 1 + 1e-9
+
 
 def cell(value: Column, size) -> Column:
     return F.floor(value / size).cast("long")

@@ -12,7 +12,7 @@ from fieldlink.functions.text import tags
 from fieldlink.lineage import cut
 from fieldlink.operators import hosts as host_ops, raster, seeds
 from fieldlink.operators.graph import greedy_matching
-from fieldlink.operators.grid import near_join
+from fieldlink.operators.grid import ROUNDING, near_join
 from fieldlink.operators.ranking import top_k
 from fieldlink.operators.seeds import PAIR
 
@@ -41,9 +41,14 @@ def artifact_environment(groups: DataFrame, cfg: Config) -> DataFrame:
         )).alias("_near")
     )
     radius = p.fragment_radius_beam * beam
-    other = spots.select("field_id", F.col("group_index").alias("_oi"), F.col("centroid_x").alias("_ox"), F.col("centroid_y").alias("_oy"))
+    # Cells in arcsec: fields differ in pixel scale.
+    spots = spots.withColumn("_sx", F.col("centroid_x") * F.col("pixel_scale")).withColumn("_sy", F.col("centroid_y") * F.col("pixel_scale"))
+    other = spots.select(
+        "field_id", F.col("group_index").alias("_oi"), F.col("centroid_x").alias("_ox"), F.col("centroid_y").alias("_oy"),
+        F.col("_sx").alias("_osx"), F.col("_sy").alias("_osy"),
+    )
     gap2 = F.pow(F.col("centroid_x") - F.col("_ox"), 2) + F.pow(F.col("centroid_y") - F.col("_oy"), 2)
-    crowd = near_join(spots, other, ["field_id"], "centroid_x", "centroid_y", "_ox", "_oy", max(radius / (cfg.pixel_scale_arcsec or 1.0), 1.0)).filter(
+    crowd = near_join(spots, other, ["field_id"], "_sx", "_sy", "_osx", "_osy", radius * ROUNDING).filter(
         (gap2 <= F.pow(radius / F.col("pixel_scale"), 2)) & (F.col("_oi") != F.col("group_index"))
     ).groupBy(*GID).agg(F.count("*").alias("_crowd"))
     joined = groups.join(seen, GID, "left").join(crowd, GID, "left")

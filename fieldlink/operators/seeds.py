@@ -15,7 +15,7 @@ from fieldlink.functions.text import tags
 from fieldlink.lineage import cut
 from fieldlink.operators.cluster import GROUP
 from fieldlink.operators.graph import greedy_matching
-from fieldlink.operators.grid import box_join, near_join
+from fieldlink.operators.grid import ROUNDING, box_join, near_join
 from fieldlink.operators.ranking import running_total, top_k
 
 PAIR = ["field_id", "group_index_1", "group_index_2"]
@@ -127,10 +127,15 @@ def midpoint_cores(pairs: DataFrame, groups: DataFrame, cfg: Config) -> DataFram
     points = pairs.select(
         *PAIR, ax.alias("_x1"), ay.alias("_y1"), bx.alias("_x2"), by.alias("_y2"), ((ax + bx) / 2).alias("_mx"), ((ay + by) / 2).alias("_my"),
         (s.core_radius_beam * cfg.beam.size_arcsec / F.col("a.pixel_scale")).alias("_radius"),
+        # Cells in arcsec: fields differ in pixel scale.
+        ((ax + bx) / 2 * F.col("a.pixel_scale")).alias("_smx"), ((ay + by) / 2 * F.col("a.pixel_scale")).alias("_smy"),
     )
-    cores = groups.filter("is_compact_singleton").select("field_id", F.col("group_index").alias("_core"), F.col("centroid_x").alias("_kx"), F.col("centroid_y").alias("_ky"))
-    reach = cfg.seeds.core_radius_beam * cfg.beam.size_arcsec / (cfg.pixel_scale_arcsec or 1.0)
-    met = near_join(cores, points, ["field_id"], "_kx", "_ky", "_mx", "_my", max(reach, 1.0))
+    cores = groups.filter("is_compact_singleton").select(
+        "field_id", F.col("group_index").alias("_core"), F.col("centroid_x").alias("_kx"), F.col("centroid_y").alias("_ky"),
+        (F.col("centroid_x") * F.col("pixel_scale")).alias("_skx"), (F.col("centroid_y") * F.col("pixel_scale")).alias("_sky"),
+    )
+    reach = s.core_radius_beam * cfg.beam.size_arcsec
+    met = near_join(cores, points, ["field_id"], "_skx", "_sky", "_smx", "_smy", reach * ROUNDING)
     vx, vy = F.col("_x2") - F.col("_x1"), F.col("_y2") - F.col("_y1")
     l2 = vx * vx + vy * vy
     away = F.sqrt(F.pow(F.col("_kx") - F.col("_mx"), 2) + F.pow(F.col("_ky") - F.col("_my"), 2))

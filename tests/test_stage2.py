@@ -68,3 +68,22 @@ def test_host_modes(spark, mode):
     else:
         assert row.parent_acceptance_class == parents.ACCEPTED and row.parent_candidate_quality == "high"
         assert out.candidates.count() == 1
+
+
+@pytest.mark.parametrize("scale", [0.2, 1.0, 1.5])
+def test_neighbours_at_any_pixel_scale(spark, scale):
+    """Two groups 30 arcsec apart crowd each other, and a core 12 arcsec off the middle of a pair is found."""
+    def row(i, x, y):
+        return ("c0", i, x / scale, y / scale, scale, i == 2, 0.0, 1.0, 1.0, "medium", "compact", "")
+
+    kind = ("field_id string, group_index long, centroid_x double, centroid_y double, pixel_scale double, is_compact_singleton boolean, group_PA double, "
+            "total_flux_gaussian double, peak_flux double, association_quality string, association_type string, artifact_risk_flags string")
+    groups = spark.createDataFrame([row(0, 100.0, 300.0), row(1, 400.0, 300.0), row(2, 262.0, 300.0), row(3, 262.0, 330.0)], kind)
+    groups = groups.withColumn("gid", F.col("group_index"))
+    density = {r.group_index: r.local_fragment_density for r in parents.artifact_environment(groups, CFG).collect()}
+    one = 1 / (3.141592653589793 * CFG.parents.fragment_radius_beam**2)
+    assert density == pytest.approx({0: 0.0, 1: 0.0, 2: one, 3: one})
+    end = lambda i: F.struct("centroid_x", "centroid_y", "pixel_scale").alias("ab"[i])
+    ends = [groups.filter(F.col("group_index") == i).select("field_id", F.col("group_index").alias(f"group_index_{i + 1}"), end(i)) for i in (0, 1)]
+    found = seeds.midpoint_cores(ends[0].join(ends[1], "field_id"), groups, CFG).collect()
+    assert [(r.midpoint_core_x * scale, r.midpoint_core_y * scale) for r in found] == [pytest.approx((262.0, 300.0))]
