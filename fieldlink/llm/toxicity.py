@@ -7,26 +7,22 @@ a window into one logit.  A document scores as its worst window, and all windows
 of all words are scored.
 
 Training takes a bounded labelled sample: at most ``PER_CLASS`` documents of
-either class and at most ``WINDOWS`` windows of each, drawn by hash from the whole
-text.  A toxic document stands for its worst window (found anew in every epoch), a
-clean one for several of its worst.
+either class, with all their windows.  A toxic document stands for its worst window
+(found anew in every epoch), a clean one for several of its worst.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from fieldlink.llm.common import slices, with_number
+from fieldlink.llm.common import with_number
 from fieldlink.llm.labelled import sample
 
 PER_CLASS = 1000
-WINDOWS = 24
 EPOCHS = 9
 #: Documents of the sample that a word's bucket must occur in to be learnt, and the weight decay.
 COMMON, DECAY = 3, 0.003
@@ -36,6 +32,8 @@ WORD_DIM = CHAR_DIM = 8
 HIDDEN = 8
 BATCH = 256
 GROUP = 8192
+#: Sampled documents whose windows are laid out together.
+TOGETHER = 50
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -192,7 +190,8 @@ def fit(words: list[bytes], index: np.ndarray, owner: np.ndarray, label: np.ndar
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
     # Rare words would only be learnt by heart: their buckets stay at zero.
     bucket = np.append(Words(words).bucket, WORD_BUCKETS)
-    met = np.unique(np.stack([np.repeat(owner, SPAN), bucket[index.reshape(-1)]]), axis=1)[1]
+    met = [np.unique(owner[i : i + GROUP, None] * (WORD_BUCKETS + 1) + bucket[index[i : i + GROUP]]) for i in range(0, len(index), GROUP)]
+    met = np.unique(np.concatenate(met)) % (WORD_BUCKETS + 1)
     common = (np.bincount(met, minlength=WORD_BUCKETS + 1)[:WORD_BUCKETS] >= COMMON)[:, None]
     starts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
     docs, truth, done = owner[starts], label[owner], 0
@@ -236,35 +235,28 @@ def fit(words: list[bytes], index: np.ndarray, owner: np.ndarray, label: np.ndar
     return p
 
 
+def all_windows(texts: list[str | None]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """As :func:`windows`, laid out for a few texts at a time and with small numbers."""
+    number: dict[bytes, int] = {}
+    index, owner = [np.zeros((0, SPAN), np.int32)], [np.zeros(0, np.int64)]
+    for at in range(0, len(texts), TOGETHER):
+        words, rows, own = windows(pa.array(texts[at : at + TOGETHER], pa.string()))
+        shared = np.array([number.setdefault(w, len(number)) for w in words] + [-1], np.int32)  # -1 stays -1
+        index.append(shared[rows])
+        owner.append(own + at)
+    return list(number), np.concatenate(index), np.concatenate(owner)
+
+
 # -- Spark ----------------------------------------------------------------------
 
 
 def train(docs: DataFrame, labels: DataFrame, fold: tuple[int, int], per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> dict | None:
-    """Fit on a bounded sample; at most ``WINDOWS`` windows of each of its documents reach the driver."""
+    """Fit on a bounded sample of rows; their whole texts reach the driver."""
     chosen, _ = sample(labels, "toxic", fold, per_class, id_col)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 2):
-            words, index, owner = windows(batch.column(2))
-            rank = np.array([xxhash.xxh3_64_intdigest(row.tobytes()) for row in np.arange(len(index))], np.uint64)
-            order = np.lexsort((rank, owner))
-            first = np.searchsorted(owner, np.arange(batch.num_rows))
-            taken = order[np.arange(len(order)) - first[owner[order]] < WINDOWS]
-            text = [b" ".join(words[i] for i in row if i >= 0).decode() for row in index[taken]]
-            at = pa.array(owner[taken])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(text, pa.string())], ["_id", "label", "text"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col), F.col(text_col).alias("_text")).join(F.broadcast(chosen), id_col)  # at most 2 * per_class rows
-    rows = rows.groupBy(id_col).agg(F.min("label").alias("label"), F.min("_text").alias("_text"))
-    found = rows.select(id_col, "label", "_text").mapInArrow(run, f"_id {kind}, label int, text string").orderBy("_id", "text").collect()
-    ids: dict = {}
-    owner = np.array([ids.setdefault(r["_id"], len(ids)) for r in found], np.int64)
-    label = np.zeros(len(ids), np.int64)
-    for r, i in zip(found, owner):
-        label[i] = r["label"]
-    words, index, _ = windows(pa.array([r["text"] for r in found], pa.string()))
-    return fit(words, index, owner, label)
+    found = rows.groupBy(id_col).agg(F.min("label").alias("label"), F.min("_text").alias("_text")).orderBy(id_col).collect()
+    words, index, owner = all_windows([r["_text"] for r in found])
+    return fit(words, index, owner, np.array([r["label"] for r in found], np.int64))
 
 
 def with_score(docs: DataFrame, model: dict | None, name: str = "score", text_col: str = "text") -> DataFrame:

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import zlib
 import re
 from itertools import combinations
 
@@ -216,6 +217,21 @@ def test_toxicity_learns_and_defines_edges():
     assert toxicity.fit(words, index, owner, np.zeros(800, int)) is None
 
 
+def test_toxicity_trains_on_every_window(spark, monkeypatch):
+    rng = random.Random(3)
+    texts = [" ".join(["start"] + [word(rng) for _ in range(n)] + [f"end{i}"]) for i, n in enumerate([3, 700, 5000, 40] * 30)] + [None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i // 2 % 2) for i in range(len(texts))], "doc_id long, toxic int")
+    seen = {}
+    monkeypatch.setattr(toxicity, "fit", lambda *a: seen.update(zip(("words", "index", "owner", "label"), a)))
+    toxicity.train(docs, labels, fold=(5, 0))
+    used = [i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 5 != 0]
+    words, index, owner = toxicity.windows(pa.array([texts[i] for i in used], pa.string()))
+    got = [[seen["words"][w] for w in row if w >= 0] for row in seen["index"]]
+    assert got == [[words[w] for w in row if w >= 0] for row in index] and seen["owner"].tolist() == owner.tolist()
+    assert seen["label"].tolist() == [i // 2 % 2 for i in used]
+
+
 def test_pipeline_keeps_columns_and_survives_odd_tables(spark, tmp_path):
     rng = random.Random(1)
     rows = [(i, " ".join(word(rng) for _ in range(40)), "en", "s", 7, 1.0) for i in range(60)] + [(60, None, None, None, None, None), (61, "", "en", "s", 0, 1.0), (None, "mail me at a@b.co now please", "en", "s", 1, 1.0), (5, rows_five(rng), "en", "s", 1, 1.0)]
