@@ -118,6 +118,16 @@ def region_las(mask: DataFrame, sizes: DataFrame) -> DataFrame:
     return rows.select(*key, F.sqrt(F.array_max(per_row)).alias("mask_las_pix"))
 
 
+def region_las_exact(mask: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Largest pixel distance of sets above 1000 pixels, over all of them; smaller sets have theirs from :func:`region_las`."""
+    key = ["field_id", "set_id"]
+    spots = mask.join(sizes.filter(F.col("mask_n") > LAS_SAMPLES).select(*key), key, "left_semi")
+    # Only the two ends of an image row can belong to the farthest pair.
+    ends = spots.groupBy(*key, "y").agg(F.min("x").alias("a"), F.max("x").alias("b"))
+    points = ends.select(*key, F.explode(F.array(F.col("a").cast("double"), F.col("b").cast("double"))).alias("px"), F.col("y").cast("double").alias("py"))
+    return largest_distance(points, key, "mask_las_exact_pix")
+
+
 # ---- members and edges ------------------------------------------------------
 
 def member_sums(members: DataFrame) -> DataFrame:
@@ -229,7 +239,8 @@ def shape_groups(members: DataFrame, labels: DataFrame, pixels: DataFrame, field
     chosen = cut(supports(members))
     mask = cut(region_sets(chosen, labels, pixels))
     moments = cut(region_moments(mask))
-    per_set = moments.join(region_las(mask, moments), ["field_id", "set_id"])
+    per_set = moments.join(region_las(mask, moments), ["field_id", "set_id"]).join(region_las_exact(mask, moments), ["field_id", "set_id"], "left")
+    per_set = per_set.withColumn("mask_las_exact_pix", F.coalesce("mask_las_exact_pix", "mask_las_pix"))
     group_set = chosen.select(*GROUP, "set_id", "support_pixels_2p5sigma", "support_pixels_2sigma").distinct()
     far = largest_distance(members.select(*GROUP, F.col("x").alias("px"), F.col("y").alias("py")), GROUP, "point_las_pix")
     frame = (
@@ -247,6 +258,7 @@ def shape_groups(members: DataFrame, labels: DataFrame, pixels: DataFrame, field
         *[c for c in frame.columns if not c.startswith("_p") and c not in ("k00", "k01", "k11")],
         _box_or_points(F.greatest(F.lit(5.0), pad)).alias("box"),
         F.greatest("point_las_pix", F.when(F.col("mask_n") > 1, F.col("mask_las_pix")).otherwise(0.0)).alias("LAS_pixel"),
+        F.greatest("point_las_pix", F.when(F.col("mask_n") > 1, F.col("mask_las_exact_pix")).otherwise(0.0)).alias("LAS_exact_pixel"),
         *[c.alias(n) for c, n in zip(cov, ("_c00", "_c01", "_c11"))],
         *[F.coalesce(c, F.lit(0)).alias(f"{c}_") for c in ("support_pixels_2p5sigma", "support_pixels_2sigma")],
     ).drop("support_pixels_2p5sigma", "support_pixels_2sigma").withColumnsRenamed(
@@ -258,7 +270,7 @@ def shape_groups(members: DataFrame, labels: DataFrame, pixels: DataFrame, field
     measured = turned.select(
         *[c for c in turned.columns if c not in ("_big", "_small", "_c00", "_c01", "_c11")],
         root("_big").alias("moment_major"), root("_small").alias("moment_minor"),
-        (F.col("LAS_pixel") * scale).alias("LAS_arcsec"),
+        (F.col("LAS_pixel") * scale).alias("LAS_arcsec"), (F.col("LAS_exact_pixel") * scale).alias("LAS_exact_arcsec"),
     ).withColumn("LAS_beam", F.col("LAS_arcsec") / cfg.beam.size_arcsec).withColumn(
         "axis_ratio",
         F.when(F.col("moment_major") > 0, F.col("moment_major") / F.greatest("moment_minor", F.lit(1e-6))).otherwise(1.0),
@@ -296,7 +308,7 @@ def publish_groups(groups: DataFrame) -> DataFrame:
     """Public columns of the group table, boxes as text."""
     return groups.select(
         "field_id", "association_group_id", F.col("group_index").alias("association_group_index"), "gid", "n_gaussians", "ra", "dec",
-        "centroid_x", "centroid_y", g.format_box(F.col("box")).alias("bounding_box"), "LAS_arcsec", "LAS_beam", "total_flux_gaussian",
+        "centroid_x", "centroid_y", g.format_box(F.col("box")).alias("bounding_box"), "LAS_arcsec", "LAS_exact_arcsec", "LAS_beam", "total_flux_gaussian",
         "peak_flux", "group_PA", "axis_ratio", "association_score_mean", "association_score_min", "association_score_max",
         "n_strong_edges", "n_weak_edges", "n_only_2sigma_edges", "association_quality", "association_type", "morphology_class",
         "resolved_probability", "beam_like_score", "classification_reason", "artifact_risk_flags",

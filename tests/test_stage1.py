@@ -4,7 +4,7 @@ from hashlib import sha256
 from pyspark.sql import functions as F
 
 from fieldlink.config import Config
-from fieldlink.operators.measure import with_member_lists
+from fieldlink.operators.measure import region_las, region_las_exact, with_member_lists
 from fieldlink.plans.stage1 import associate
 from tests.scenes import bar_components, bar_field, bar_snr, labels_at_or_above
 
@@ -36,3 +36,20 @@ def test_full_run_from_image(spark):
     out = associate(bar_components(spark), pixels, fields, cfg)
     assert out.groups.count() == 1
     assert out.edges.filter("edge_type = 'strong'").count() == out.edges.count() == 3
+
+
+def test_region_sizes_over_all_pixels(spark):
+    # 60 x 40 pixels of one region, and a single row of three.
+    spots = [("f", "r:big", y, x) for y in range(60) for x in range(40) if (x * x + 7 * y) % 11 != 3] + [("f", "r:line", 5, x) for x in (1, 2, 4)]
+    mask = spark.createDataFrame(spots, "field_id string, set_id string, y int, x int")
+    sizes = mask.groupBy("field_id", "set_id").agg(F.count("*").alias("mask_n"))
+    pts = [(y, x) for _, s, y, x in spots if s == "r:big"]
+    far = max((a - c) ** 2 + (b - d) ** 2 for a, b in pts for c, d in pts) ** 0.5
+    assert [(r.set_id, r.mask_las_exact_pix) for r in region_las_exact(mask, sizes).collect()] == [("r:big", far)]
+    # A spike of one pixel that the even sample of 1000 passes over.
+    spiked = mask.unionByName(spark.createDataFrame([("f", "r:big", 30, x) for x in range(40, 300)], mask.schema))
+    sizes = spiked.groupBy("field_id", "set_id").agg(F.count("*").alias("mask_n"))
+    exact = region_las_exact(spiked, sizes).first().mask_las_exact_pix
+    pts += [(30, x) for x in range(40, 300)]
+    assert exact == max((a - 30) ** 2 + (b - 299) ** 2 for a, b in pts) ** 0.5
+    assert region_las(spiked, sizes).filter("set_id = 'r:big'").first().mask_las_pix <= exact
