@@ -115,3 +115,19 @@ def _licence_twin() -> str:
 
 
 LLM_ORACLES["op4_licence_sentences"] = _licence_twin()
+
+
+@query
+def op13_rank_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fieldlink.llm.rank_bpe import decode_ranked, encode_ranked
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    encoded = encode_ranked(table(spark, sf_dir, "documents"), path).withColumn("ids_sha256", F.sha2("ids", 256))
+    return decode_ranked(encoded, path).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fieldlink.llm.prefix_trie import conversation_trie
+
+    return conversation_trie(table(spark, sf_dir, "conversations"))
