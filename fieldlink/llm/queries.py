@@ -131,3 +131,10 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fieldlink.llm.prefix_trie import conversation_trie
 
     return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fieldlink.llm.repair import repair_damaged
+
+    return repair_damaged(table(spark, sf_dir, "conversations"))
