@@ -2,27 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from fieldlink.lineage import cut, drop
 
 
-#: Edge sets counted at no more rows than this contract within one task, without shuffles.
-ONE_TASK_EDGES = 200_000
-
-
-def _star(edges: DataFrame, keys: list[str], large: bool, small: bool) -> DataFrame:
-    """One contraction: every neighbour of a node is tied to the smallest one it can see.
-
-    ``small`` says that the edges were counted and fit one task.
-    """
-    fit = (lambda df: df.coalesce(1)) if small else (lambda df: df)
-    both = edges.select(*keys, "u", "v")
+def _star(edges: DataFrame, keys: list[str], large: bool) -> DataFrame:
+    """One contraction: every neighbour of a node is tied to the smallest one it can see."""
     if large:
-        both = both.unionByName(edges.select(*keys, F.col("v").alias("u"), F.col("u").alias("v")))
+        both = edges.select(*keys, "u", "v").unionByName(edges.select(*keys, F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         both = edges.select(*keys, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    both = fit(both)
     # Grouped minimum is combined map-side; the join back is a key join that
     # adaptive execution splits when one hub holds most neighbours.
     low = both.groupBy(*keys, "u").agg(F.min("v").alias("_low")).withColumn("_m", F.least("_low", "u"))
@@ -33,7 +23,7 @@ def _star(edges: DataFrame, keys: list[str], large: bool, small: bool) -> DataFr
         out = tied.select(*keys, F.col("v").alias("u"), F.col("_m").alias("v")).unionByName(
             low.select(*keys, "u", F.col("_m").alias("v"))
         )
-    return fit(out.filter(F.col("u") != F.col("v"))).distinct()
+    return out.filter(F.col("u") != F.col("v"))
 
 
 def component_labels(edges: DataFrame, keys: list[str], src: str, dst: str, max_rounds: int = 60) -> DataFrame:
@@ -41,22 +31,18 @@ def component_labels(edges: DataFrame, keys: list[str], src: str, dst: str, max_
 
     Alternating large-star and small-star contractions; the loop ends when the
     edge set no longer changes, which happens after a number of rounds that grows
-    with the logarithm of the component size.  Rounds over few edges cost little
-    but their tasks, so they run in one; larger ones shuffle by node.
+    with the logarithm of the component size.  A round is one job at any size: its
+    number and hash of edges are observed while they are written, and adaptive
+    execution lets the number of tasks follow the edges.
     """
-    work = (
-        edges.select(*keys, F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v"))
-        .filter(F.col("u") != F.col("v"))
-        .distinct()
-    )
-    work = cut(work)
-    seal = _fingerprint(work, keys)
+    work = edges.select(*keys, F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).filter(F.col("u") != F.col("v")).distinct()
+    work, seal = _sealed(work, keys)
     for _ in range(max_rounds):
         if seal[0] == 0:
             break
-        before, work = work, cut(_contract(work, keys, small=seal[0] <= ONE_TASK_EDGES))
+        before = work
+        work, fresh = _sealed(_star(_star(before, keys, True), keys, False).distinct(), keys)
         drop(before)
-        fresh = _fingerprint(work, keys)
         if fresh == seal:
             break
         seal = fresh
@@ -66,16 +52,12 @@ def component_labels(edges: DataFrame, keys: list[str], src: str, dst: str, max_
     return work.select(*keys, F.col("u").alias("node"), F.col("v").alias("label")).unionByName(roots)
 
 
-def _contract(edges: DataFrame, keys: list[str], small: bool) -> DataFrame:
-    return _star(_star(edges, keys, True, small), keys, False, small)
-
-
-def _fingerprint(edges: DataFrame, keys: list[str]) -> tuple:
-    row = edges.agg(
-        F.count("*").alias("n"),
-        F.coalesce(F.sum(F.xxhash64(*keys, "u", "v").cast("decimal(38,0)")), F.lit(0)).alias("h"),
-    ).first()
-    return row["n"], row["h"]
+def _sealed(edges: DataFrame, keys: list[str]) -> tuple[DataFrame, tuple]:
+    """The written edges, and their number and hash as observed by the write."""
+    seen = Observation()
+    mark = F.sum(F.xxhash64(*keys, "u", "v").cast("decimal(38,0)"))
+    written = cut(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.coalesce(mark, F.lit(0)).alias("h")))
+    return written, (seen.get["n"], seen.get["h"])
 
 
 def cluster(nodes: DataFrame, edges: DataFrame, keys: list[str], node: str, src: str, dst: str, label: str) -> DataFrame:
