@@ -11,15 +11,13 @@
 
 Pairs inside a bucket are not listed.  Each bucket has a hub, the node with most
 bucket-mates over all its bands (of a text and its copies that is mostly the text
-itself), and each node is first tied to the nearest of its hubs.  After that only
-pairs between different components of a bucket matter, and of these at least one
-node is outside the bucket's largest component.  Such nodes are compared with the
-others inside the join, by sketch and by a bound that is exact: shingles that no
-other node in question has cannot be common, so what two sets have in common is at
-most what is left of the smaller.  First the best pair per node and foreign
-component is confirmed, then, once components have grown, every pair still between
-components.  So every link between components is tested, while pairs inside a
-component are never needed.
+itself), and every node is first compared with its hubs.  After that only pairs
+between different components of a hub matter.  They are found by an exact
+prefix-filter join on the shingles in which nodes differ from the hub: two nodes
+that are both unlike the hub are near each other only if they share most of these
+differences (``_close_to_hub``).  So every link between components is tested,
+while pairs inside a component, and pairs that only resemble the same hub, are
+never listed.
 """
 
 from __future__ import annotations
@@ -43,6 +41,8 @@ BANDS, ROWS = 36, 5
 SAMPLES = 768
 BITS = 1024
 WORDS = BITS // 64
+#: Parts of one component that its smallest id goes back to.
+SALT = 32
 
 _rng = np.random.default_rng(20240607)
 _XOR = _rng.integers(0, 2**32, SAMPLES, np.uint32)
@@ -228,9 +228,12 @@ def grouped(docs: DataFrame, words: int, percent: int, id_col: str, text_col: st
     if labels is None:
         found = named.select("_set", F.col("node").alias("label"), F.col("low").alias("first"))
     else:
-        named = named.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        low = named.groupBy("label").agg(F.min("low").alias("first"))
-        found = named.join(low, "label").select("_set", "label", "first")
+        named = cut(named.join(labels, "node", "left"))
+        alone = named.filter("label IS NULL").select("_set", F.col("node").alias("label"), F.col("low").alias("first"))
+        # The smallest id goes back to the nodes of a component in SALT parts, since one may hold most of them.
+        linked = named.filter("label IS NOT NULL").withColumn("part", F.pmod("node", F.lit(SALT)))
+        low = linked.groupBy("label").agg(F.min("low").alias("first")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))))
+        found = linked.join(low, ["label", "part"]).select("_set", "label", "first").unionByName(alone)
     first = F.when(F.col("_set").isNull(), F.col("_id")).when(F.col("first") < 2**63 - 1, F.col("first").cast(kind))
     return (
         rows.select("_id", "_th", "n_shingles", "_set").join(found, "_set", "left").withColumn("component_id", first)
@@ -243,56 +246,107 @@ def _link(docs, nodes, members, sketches, words, percent, near, id_col, text_col
     wanted = nodes.select("node", "_rep").join(members.select("node").distinct(), "node", "left_semi")
     wanted = wanted.select("node", F.col("_rep.order").alias("_order"), F.col("_rep._th").alias("_rth"))
     source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("_order"), F.xxhash64(text_col).alias("_rth"), F.col(text_col).alias("_text"))
-    texts = cut(source.join(wanted, ["_order", "_rth"]).select("node", "_text"))
+    # Repeated rows give one text.
+    texts = cut(source.join(wanted, ["_order", "_rth"]).groupBy("node").agg(F.any_value("_text").alias("_text")))
 
-    def near_pairs(pairs: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+    def near_pairs(pairs: DataFrame) -> DataFrame:
         a, b = sketches.alias("a"), sketches.alias("b")
         return (
             pairs.join(a.drop("size"), F.col("u") == F.col("a.node")).join(b.drop("size"), F.col("v") == F.col("b.node"))
-            .select("u", "v", *extra, _distance("a", "b").alias("d")).filter(F.col("d") <= near)
+            .filter(_distance("a", "b") <= near).select("u", "v")
         )
 
     weights = members.groupBy("node").agg(F.sum("mates").alias("weight"))
-    weighed = members.join(weights, "node")
-    hubs = weighed.groupBy("band").agg(F.max(F.struct("weight", -F.col("node")))["col2"].alias("hub"))
-    stars = members.join(hubs, "band").select(F.col("node").alias("u"), (-F.col("hub")).alias("v")).filter("u != v").distinct()
-    best = near_pairs(stars).groupBy("u").agg(F.min(F.struct("d", "v"))["v"].alias("v"))
-    tested = [cut(best)]
-    found = cut(_confirm(tested[0], texts, words, percent))
-
-    labels, single = _labels(None, found), None
-    for only_best in (True, False):
-        placed = members.select("band", "node")
-        placed = placed.join(labels, "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label") if labels is not None else placed.withColumn("comp", F.col("node"))
-        placed = cut(placed)
-        sizes = placed.groupBy("band", "comp").count()
-        mixed = sizes.groupBy("band").agg(F.max_by("comp", F.struct("count", "comp")).alias("big"), F.count("*").alias("n")).filter("n > 1").drop("n")
-        if single is None:
-            single = cut(_unshared(texts, placed.join(mixed, "band").select("node").distinct(), words))
-        among = placed.join(mixed, "band").join(sketches, "node").join(single, "node", "left")
-        among = cut(among.withColumn("common", F.col("size") - F.coalesce("single", F.lit(0))).drop("single").filter(100 * F.col("common") >= percent * F.col("size")))
-        drop(placed)
-        left, right = among.filter("comp != big").alias("l"), among.alias("r")
-        once = (F.col("r.comp") == F.col("r.big")) | (F.col("l.node") < F.col("r.node"))
-        possible = (100 + percent) * F.least("l.common", "r.common") >= percent * (F.col("l.size") + F.col("r.size"))
-        crossing = left.join(
-            right, (F.col("l.band") == F.col("r.band")) & (F.col("l.comp") != F.col("r.comp")) & once & possible & (_distance("l", "r") <= near)
-        ).select(F.col("l.node").alias("u"), F.col("r.node").alias("v"), F.col("r.comp").alias("other"), (_distance("l", "r") if only_best else F.lit(0)).alias("d"))
-        crossing = crossing.select(F.least("u", "v").alias("v"), F.greatest("u", "v").alias("u"), F.col("u").alias("from"), "other", "d")
-        for done in tested:
-            crossing = crossing.join(done.select("u", "v"), ["u", "v"], "left_anti")
-        if only_best:
-            crossing = crossing.groupBy("from", "other").agg(F.min(F.struct("d", "u", "v")).alias("p")).select("p.u", "p.v")
-        pairs = cut(crossing.select("u", "v").distinct())
-        drop(among)
-        if pairs.isEmpty():
-            break
-        tested.append(pairs)
+    hubs = members.join(weights, "node").groupBy("band").agg(F.max(F.struct("weight", -F.col("node")))["col2"].alias("hub"))
+    stars = cut(members.join(hubs, "band").select(F.col("node").alias("u"), (-F.col("hub")).alias("v")).filter("u != v").distinct())
+    links = cut(_confirm(near_pairs(stars), texts, words, percent))
+    labels = _labels(None, links)
+    apart = cut(_apart(stars, labels, texts, sketches, words, percent))
+    if not apart.isEmpty():
+        pairs = cut(near_pairs(_close_to_hub(apart, texts, words, percent)))
         labels = _labels(labels, cut(_confirm(pairs, texts, words, percent)))
-    drop(texts)
+        drop(pairs)
+    for written in (texts, stars, links, apart):
+        drop(written)
     return labels
 
 
+def _apart(stars: DataFrame, labels: DataFrame | None, texts: DataFrame, sketches: DataFrame, words: int, percent: int) -> DataFrame:
+    """(hub, node, comp, outside): nodes tied to a hub whose nodes are not all in one component.
+
+    ``outside`` marks nodes that are not in the largest component there.  Nodes that
+    share too few of their shingles with any other of these nodes are left out, and
+    so are hubs with one other node, since that pair has been tested.
+    """
+    tied = stars.select(F.col("v").alias("hub"), F.col("u").alias("node"))
+    tied = tied.unionByName(tied.select("hub", F.col("hub").alias("node")).distinct())
+    if labels is None:
+        tied = tied.withColumn("comp", F.col("node"))
+    else:
+        tied = tied.join(labels, "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label")
+
+    def mixed(rows: DataFrame) -> DataFrame:
+        sizes = rows.groupBy("hub", "comp").count()
+        some = sizes.groupBy("hub").agg(F.max_by("comp", F.struct("count", "comp")).alias("big"), F.count("*").alias("n"), F.sum("count").alias("all"))
+        return rows.join(some.filter("n > 1 AND all > 2").select("hub", "big"), "hub")
+
+    rows = cut(mixed(tied).select("hub", "node", "comp"))
+    single = _unshared(texts, rows.select("node").distinct(), words)
+    rows = rows.join(sketches.select("node", "size"), "node").join(single, "node", "left")
+    rows = rows.filter(100 * (F.col("size") - F.coalesce("single", F.lit(0))) >= percent * F.col("size")).select("hub", "node", "comp")
+    return mixed(rows).select("hub", "node", "comp", (F.col("comp") != F.col("big")).alias("outside"))
+
+
+def _close_to_hub(apart: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """(u, v): pairs of different components that may be near, found by how they differ from their hub.
+
+    Let D be the shingles in which a node and the hub differ.  Two nodes differ in
+    |D| + |D'| - 2c shingles, where c is what D and D' have in common, so they are
+    near only if 2c(100 + percent) >= A + A' with A = (100 + percent)|D| - (100 -
+    percent)|node|.  Texts that were made from the hub by separate changes have
+    little in common, however alike they are.  Shingles of D that no other node of
+    the hub has cannot be common; the rest are ordered from rare to frequent, and at
+    the first common one both nodes still need c shingles from there on.  That is a
+    join on (hub, shingle) with exact bounds, from which the entries that no node
+    of the hub can match go beforehand.  If both nodes are so close to the hub that
+    c = 0 suffices, then both are linked with it and in one component.
+    """
+    more, less = 100 + percent, 100 - percent
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 4):
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                right = part.column(5).dictionary_encode()
+                left, known = shingle_sets(part.column(4), words), shingle_sets(right.dictionary, words)
+                apart = [np.setxor1d(s, known[i], True) for s, i in zip(left, right.indices.to_pylist())]
+                lens = np.array([len(d) for d in apart], np.int64)
+                need = more * lens - less * np.array([len(s) for s in left], np.int64)
+                columns = [np.repeat(part.column(i).to_numpy(zero_copy_only=False), lens) for i in range(4)]
+                columns += [np.repeat(need, lens), np.concatenate(apart).view(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["hub", "node", "comp", "outside", "need", "shingle"])
+
+    own, base = texts.withColumnRenamed("_text", "_own"), texts.select(F.col("node").alias("hub"), F.col("_text").alias("_base"))
+    both = apart.join(own, "node").join(base, "hub").select("hub", "node", "comp", "outside", "_own", "_base")
+    differ = cut(both.mapInArrow(run, "hub long, node long, comp long, outside boolean, need long, shingle long"))
+    shared = differ.groupBy("hub", "shingle").agg(F.count("*").alias("df"), F.max("outside").alias("wanted")).filter("df > 1 AND wanted").drop("wanted")
+    order = Window.partitionBy("hub", "node").orderBy("df", "shingle")
+    left = F.count("*").over(Window.partitionBy("hub", "node")) - F.row_number().over(order) + 1
+    entries = differ.join(shared, ["hub", "shingle"]).withColumn("give", 2 * more * left - F.col("need"))
+    limits = differ.groupBy("hub").agg(F.min("need").alias("_any"), F.min(F.when(F.col("outside"), F.col("need"))).alias("_out"))
+    entries = cut(
+        entries.join(limits, "hub").filter(F.col("give") >= F.when(F.col("outside"), F.col("_any")).otherwise(F.col("_out")))
+        .select("hub", "node", "comp", "outside", "need", "shingle", "give")
+    )
+    a, b = entries.filter("outside").alias("a"), entries.alias("b")
+    pairs = a.join(
+        b,
+        (F.col("a.hub") == F.col("b.hub")) & (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.comp") != F.col("b.comp"))
+        & (~F.col("b.outside") | (F.col("a.node") < F.col("b.node"))) & (F.col("a.give") >= F.col("b.need")) & (F.col("b.give") >= F.col("a.need")),
+    )
+    return pairs.select(F.greatest("a.node", "b.node").alias("u"), F.least("a.node", "b.node").alias("v")).distinct()
+
+
 def _unshared(texts: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
     """(node, single): shingles of each of the nodes that no other of them has."""
 
