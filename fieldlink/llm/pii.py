@@ -15,6 +15,7 @@ at the head of a run of its characters or where the last match ended.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -23,6 +24,9 @@ THRESHOLD = 0.5
 #: Code points on either side in which context words count, and what they add.
 NEARBY = 40
 CONTEXT_BONUS = 0.3
+#: Elements that are totalled together in running sums, and code points of a text that are cut out of together.
+BLOCK = 64
+CHUNK = 256
 
 _LOCAL = r"[A-Za-z0-9._%+-]"
 
@@ -100,26 +104,52 @@ def confirmed(kind: str, match: Column) -> Column:
 SPAN = "array<struct<start:int,end:int,score:double>>"
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, also where lambdas inside use it many times."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _running(values: Column, join: Callable[[Column, Column], Column], levels: int = 3) -> Column:
+    """Running sums (or greatest values) of an array of non-negative ints, each with its own element.
+
+    Blocks of BLOCK elements are totalled, their totals run on the next level, and
+    an element adds those before it in its block: no array grows step by step.
+    """
+    zero = F.lit(0)
+    total = lambda part: F.aggregate(part, zero, join)
+    if levels == 1:
+        return F.transform(values, lambda _, i: total(F.slice(values, F.lit(1), i + 1)))
+    number = lambda i: F.floor(i / F.lit(BLOCK)).cast("int")
+    blocks = F.transform(F.sequence(zero, number(F.greatest(F.size(values) - 1, zero))), lambda k: total(F.slice(values, k * BLOCK + 1, F.lit(BLOCK))))
+
+    def placed(upto: Column) -> Column:
+        before = lambda i: F.when(number(i) > 0, F.get(upto, number(i) - 1)).otherwise(zero)
+        return F.transform(values, lambda _, i: join(before(i), total(F.slice(values, number(i) * BLOCK + 1, i % BLOCK + 1))))
+
+    return _let(blocks, lambda bs: _let(_running(bs, join, levels - 1), placed))
+
+
 def _spans(text: Column, kind: Kind) -> Column:
     """Confirmed spans of one kind, with scores."""
-    found = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
-    gaps = F.split(text, kind.pattern, -1)
-    parts = F.transform(
-        found,
-        lambda m, i: F.struct(
-            m.alias("match"), F.length(F.get(gaps, i)).alias("gap"),
-            F.concat_ws(" ", F.right(F.get(gaps, i), F.lit(NEARBY)), F.left(F.get(gaps, i + 1), F.lit(NEARBY))).alias("near"),
-        ),
-    )
-    rows = "array<struct<start:int,end:int,match:string,near:string>>"
 
-    def place(done: Column, p: Column) -> Column:
-        start = done["at"] + p["gap"]
-        end = start + F.length(p["match"])
-        row = F.struct(start.alias("start"), end.alias("end"), p["match"].alias("match"), p["near"].alias("near"))
-        return F.struct(end.alias("at"), F.array_append(done["rows"], row).cast(rows).alias("rows"))
+    def parts(cut: Column) -> Column:
+        gap = lambda i: F.get(cut["gaps"], i)
+        return F.transform(
+            cut["found"],
+            lambda m, i: F.struct(
+                m.alias("match"), F.length(m).alias("size"), F.length(gap(i)).alias("gap"),
+                F.concat_ws(" ", F.right(gap(i), F.lit(NEARBY)), F.left(gap(i + 1), F.lit(NEARBY))).alias("near"),
+            ),
+        )
+
+    def place(rows: Column) -> Column:
+        ends = _let(F.transform(rows, lambda p: p["gap"] + p["size"]), lambda v: _running(v, lambda a, b: a + b))
+        return _let(ends, lambda at: F.transform(
+            rows, lambda p, i: F.struct((F.get(at, i) - p["size"]).alias("start"), F.get(at, i).alias("end"), p["match"].alias("match"), p["near"].alias("near"))
+        ))
 
-    placed = F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast(rows).alias("rows")), place)["rows"]
+    cut = F.struct(F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)).alias("found"), F.split(text, kind.pattern, -1).alias("gaps"))
+    placed = _let(_let(cut, parts), place)
     good = F.filter(placed, lambda s: confirmed(kind.name, s["match"]))
     scored = F.transform(
         good,
@@ -135,8 +165,13 @@ def _spans(text: Column, kind: Kind) -> Column:
 def find(docs: DataFrame, text_col: str = "text", prefix: str = "pii_") -> DataFrame:
     """The frame with one array column per kind: (start, end exclusive, score), in code points, by start.
 
-    Null and empty texts give empty arrays.  All other columns and rows stay.
+    Null and empty texts give empty arrays; repeated rows and an empty table stay as
+    they are.  All other columns stay; one that has the name of a span column is an
+    error.  Time grows with the text and its spans, not with their product.
     """
+    taken = [prefix + k.name for k in KINDS if prefix + k.name in docs.columns]
+    if taken:
+        raise ValueError(f"columns exist already, choose another prefix: {taken}")
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     return docs.withColumns({prefix + k.name: _spans(text, k) for k in KINDS})
 
@@ -162,17 +197,29 @@ def redact(docs: DataFrame, text_col: str = "text", prefix: str = "pii_") -> Dat
     def rows(kind: str) -> Column:
         return F.transform(F.col(prefix + kind), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), F.lit(kind.upper()).alias("kind")))
 
-    every = F.sort_array(F.concat(*(rows(k.name) for k in KINDS)).cast(flat))
+    def clean(given: Column) -> Column:
+        spans, chunks = given["spans"], given["chunks"]
+        piece = lambda i: F.coalesce(F.get(chunks, i), F.lit(""))
 
-    def put(done: Column, s: Column) -> Column:
-        new = s["start"] >= done["at"]
-        piece = F.concat(F.substring(text, done["at"] + 1, s["start"] - done["at"]), F.lit("<"), s["kind"], F.lit(">"))
-        return F.struct(
-            F.greatest(done["at"], -s["back"]).alias("at"),
-            F.when(new, F.array_append(done["out"], piece)).otherwise(done["out"]).cast("array<string>").alias("out"),
-        )
+        def between(a: Column, b: Column) -> Column:
+            """The text from a to b, out of its chunks."""
+            first, last = F.floor(a / F.lit(CHUNK)).cast("int"), F.floor(b / F.lit(CHUNK)).cast("int")
+            whole = F.array_join(F.slice(chunks, first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+            apart = F.concat(F.substring(piece(first), a % CHUNK + 1, F.lit(CHUNK)), whole, F.substring(piece(last), F.lit(1), b % CHUNK))
+            return F.when(b <= a, "").when(first == last, F.substring(piece(first), a % CHUNK + 1, b - a)).otherwise(apart)
+
+        def put(upto: Column) -> Column:
+            done = lambda i: F.when(i > 0, F.get(upto, i - 1)).otherwise(F.lit(0))
+            tag = lambda s, i: F.concat(between(done(i), s["start"]), F.lit("<"), s["kind"], F.lit(">"))
+            out = F.transform(spans, lambda s, i: F.when(s["start"] >= done(i), tag(s, i)).otherwise(""))
+            rest = between(F.get(upto, F.size(upto) - 1), given["length"])
+            return F.concat(F.array_join(out, ""), rest)
 
-    done = F.aggregate(every, F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")), put)
-    clean = F.concat(F.array_join(done["out"], ""), F.substring(text, done["at"] + 1, F.greatest(F.length(text), F.lit(1))))
+        ends = _let(F.transform(spans, lambda s: -s["back"]), lambda v: _running(v, lambda a, b: F.greatest(a, b)))
+        return _let(ends, put)
+
+    every = F.sort_array(F.concat(*(rows(k.name) for k in KINDS)).cast(flat))
+    chunks = F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % CHUNK), F.lit(0))
+    given = F.struct(every.alias("spans"), chunks.alias("chunks"), F.length(text).alias("length"))
     some = F.greatest(*(F.size(prefix + k.name) for k in KINDS)) > 0
-    return docs.withColumn(text_col, F.when(some, clean).otherwise(text)).drop(*(prefix + k.name for k in KINDS))
+    return docs.withColumn(text_col, F.when(some, _let(given, clean)).otherwise(text)).drop(*(prefix + k.name for k in KINDS))

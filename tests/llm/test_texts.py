@@ -2,13 +2,15 @@
 
 import hashlib
 import random
-import zlib
 import re
+import time
+import zlib
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from fieldlink.llm import ann, fingerprints, near_dup, pii, quality, toxicity
@@ -111,7 +113,41 @@ def test_personal_data_equals_plain_rules(spark):
         assert r.spans == ",".join(want), r.text
     assert [len(r.pii_iban) for r in found if r.doc_id == 8] == [2]
     clean = {r.doc_id: r.text for r in pii.redact(pii.find(spark.createDataFrame(rows, "doc_id int, text string"))).collect()}
-    assert clean[0] is None and clean[1] == "" and clean[7] == "<EMAIL>_<EMAIL>"[:0] + "<EMAIL>" + clean[7][7:] and "a.b+c@" not in clean[2]
+    assert clean[0] is None and clean[1] == "" and clean[7] == "<EMAIL><EMAIL>" and "a.b+c@" not in clean[2]
+    spans = pii.find(spark.createDataFrame(rows, "doc_id int, text string")).select("doc_id", "text", pii.joined(tuple(k.name for k in pii.KINDS)).alias("spans")).collect()
+    for r in spans:
+        assert clean[r.doc_id] == plain_redaction(r.text, r.spans)
+
+
+def plain_redaction(text, spans):
+    at, out = 0, []
+    for start, end, kind in sorted((int(a), -int(b), k) for k, a, b in (x.split(":") for x in spans.split(",") if x)):
+        if start >= at:
+            out += [text[at:start], f"<{kind.upper()}>"]
+        at = max(at, -end)
+    return text if text is None else "".join(out) + text[at:]
+
+
+def test_personal_data_of_a_text_with_very_many_spans(spark):
+    n = 200_000
+    text = "é".join(f"u{i}@x.org, 10.0.0.{i % 256} " for i in range(n // 2))
+    docs = spark.createDataFrame([(1, text), (1, text[:300]), (1, text[:300])], "doc_id int, text string")
+    begin = time.time()
+    found = pii.find(docs)
+    rows = found.select("text", pii.joined(pii.BASE).alias("spans"), F.size("pii_email").alias("n")).collect()
+    clean = [r.text for r in pii.redact(found).collect()]
+    assert time.time() - begin < 60
+    assert sorted(r.n for r in rows)[-1] == n // 2
+    for r, c in zip(rows, clean):
+        assert r.spans == ",".join(f"{k}:{m.start()}:{m.end()}" for k, p, ok in RULES for m in re.finditer(p, r.text) if ok(m.group()))
+        assert c == plain_redaction(r.text, r.spans)
+
+
+def test_personal_data_refuses_clashing_columns_and_keeps_empty_tables(spark):
+    docs = spark.createDataFrame([], "doc_id int, text string, start int, `end` int, score double, kind string")
+    assert pii.redact(pii.find(docs)).columns == docs.columns and pii.find(docs).count() == 0
+    with pytest.raises(ValueError):
+        pii.find(docs.withColumnRenamed("start", "pii_email"))
 
 
 def test_fingerprints_of_neighbours(spark, monkeypatch):
