@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window as W, functions as F
 
 from fieldlink.lineage import cut, drop
 
@@ -74,46 +74,93 @@ def greedy_matching(
     right: str,
     order: list[Column],
     capacity: int = 1,
-    max_rounds: int = 1000,
 ) -> DataFrame:
     """The edges a sequential greedy pass would keep when every node takes at most ``capacity``.
 
-    ``order`` ranks edges totally, smallest first.  Per round an edge is kept when it is
-    among the first free places at both of its ends; edges at full nodes leave.
-    Nothing that ranks lower can change such an edge, so the fixpoint equals the
-    sequential result.
+    ``order`` ranks edges totally, smallest first.  In a round an edge is kept for
+    sure when it is among the first free places at both of its ends.  An edge that
+    waits for one better edge only is kept exactly if that one is not; such edges
+    form chains, and the parity of the way to a sure edge is found by pointer
+    jumping in steps of the logarithm of the chain.  Decided edges leave, and kept
+    ones are written once, so a round reads and writes pending edges alone.
     """
     from fieldlink.operators.ranking import top_k
 
     marks = [f"_o{i}" for i in range(len(order))]
-    work = edges.select("*", *[c.alias(m) for c, m in zip(order, marks)])
     ranked = [F.col(m) for m in marks]
-    pending = cut(work.withColumn("_left", F.col(left).cast("string")).withColumn("_right", F.col(right).cast("string")))
-    used = None
+    work = edges.select("*", *[c.alias(m) for c, m in zip(order, marks)], F.monotonically_increasing_id().alias("_edge"))
+    whole = cut(work.withColumn("_left", F.col(left).cast("string")).withColumn("_right", F.col(right).cast("string")))
+    room = F.lit(capacity).cast("long")
+    pending = cut(whole.select(*keys, "_edge", "_left", "_right", *marks, room.alias("_room_left"), room.alias("_room_right")))
     kept = None
-    for _ in range(max_rounds):
-        if pending.isEmpty():
-            break
-        ends = pending.select(*keys, "_left", "_right", *marks, F.explode(F.array("_left", "_right")).alias("_node"))
-        first = top_k(ends, keys + ["_node"], ranked, capacity)
-        if used is not None:
-            first = first.join(used, keys + ["_node"], "left").filter(
-                F.col("_rank") <= capacity - F.coalesce("_used", F.lit(0))
-            )
-        agreed = first.groupBy(*keys, "_left", "_right").count().filter("count = 2").select(*keys, "_left", "_right")
-        won = pending.join(agreed, keys + ["_left", "_right"])
-        kept = cut(won if kept is None else kept.unionByName(won))
-        used = (
-            kept.select(*keys, F.explode(F.array("_left", "_right")).alias("_node"))
-            .groupBy(*keys, "_node")
-            .agg(F.count("*").alias("_used"))
+    while not pending.isEmpty():
+        sides = F.explode(F.array(*(F.struct(F.col(f"_{s}").alias("node"), F.col(f"_room_{s}").alias("room")) for s in ("left", "right"))))
+        ends = pending.select(*keys, "_edge", *marks, sides.alias("_s")).select(*keys, "_edge", *marks, F.col("_s.node").alias("_node"), F.col("_s.room").alias("_room"))
+        line = W.partitionBy(*keys, "_node").orderBy(*ranked).rowsBetween(W.unboundedPreceding, 0)
+        first = top_k(ends.withColumn("_best", F.first("_edge").over(line)), keys + ["_node"], ranked, capacity + 1)
+        fits = F.col("_rank") <= F.col("_room")
+        seen = first.groupBy("_edge").agg(
+            F.count("*").alias("n"), F.count_if(fits).alias("good"), F.max(F.when((F.col("_room") == 1) & (F.col("_rank") == 2), F.col("_best"))).alias("before")
         )
-        full = used.filter(F.col("_used") >= capacity).select(*keys, "_node")
-        rest = pending.join(kept.select(*keys, "_left", "_right"), keys + ["_left", "_right"], "left_anti")
-        for end in ("_left", "_right"):
-            rest = rest.join(full.withColumnRenamed("_node", end), keys + [end], "left_anti")
-        pending = cut(rest)
-    else:
-        raise RuntimeError("greedy matching did not settle")
-    result = pending if kept is None else kept
-    return result.drop(*marks, "_left", "_right")
+        decided = _parities(
+            seen.filter("n = 2 AND (good = 2 OR good = 1 AND before IS NOT NULL)")
+            .select("_edge", F.when(F.col("good") == 2, F.col("_edge")).otherwise(F.col("before")).alias("to"), (F.col("good") == 1).alias("odd"))
+        )
+        taken = cut(pending.join(decided.filter("NOT odd"), "_edge", "left_semi").select("_edge", *keys, "_left", "_right"))
+        kept = taken.select("_edge") if kept is None else kept.unionByName(taken.select("_edge"))
+        full = taken.select(*keys, F.explode(F.array("_left", "_right")).alias("_node")).groupBy(*keys, "_node").agg(F.count("*").alias("_used"))
+        rest = pending.join(decided, "_edge", "left_anti")
+        for s in ("left", "right"):
+            used = full.withColumnRenamed("_node", f"_{s}")
+            rest = rest.join(used, keys + [f"_{s}"], "left").withColumn(f"_room_{s}", F.col(f"_room_{s}") - F.coalesce("_used", F.lit(0))).drop("_used")
+        before, pending = pending, cut(rest.filter("_room_left > 0 AND _room_right > 0"))
+        drop(before)
+        drop(decided)
+    result = whole.limit(0) if kept is None else whole.join(kept, "_edge", "left_semi")
+    return result.drop(*marks, "_edge", "_left", "_right")
+
+
+def _parities(chains: DataFrame) -> DataFrame:
+    """(_edge, odd) of the edges whose chain of ``to`` ends in an edge that points to itself."""
+    done = F.col("to") == F.col("_edge")
+    work = cut(chains.withColumn("done", done))
+    while not work.filter("NOT done").isEmpty():
+        ahead = work.select(F.col("_edge").alias("to"), F.col("to").alias("_next"), F.col("odd").alias("_odd"), F.col("done").alias("_done"))
+        # What points to an edge that is not among these, waits for more than one and leaves.
+        jumped = work.filter("NOT done").join(ahead, "to").select("_edge", F.col("_next").alias("to"), (F.col("odd") != F.col("_odd")).alias("odd"), F.col("_done").alias("done"))
+        before, work = work, cut(work.filter("done").unionByName(jumped))
+        drop(before)
+    out = work.select("_edge", "odd")
+    out._written_at = work._written_at
+    return out
+
+
+def maximum_spanning_forest(edges: DataFrame, keys: list[str], src: str, dst: str, weight: str) -> DataFrame:
+    """The edges of a spanning forest of largest weight per key; equal weights by ascending ends.
+
+    Rounds after Boruvka: every component takes its best edge to another one, and
+    components that these edges join become one.  Their number at least halves in a
+    round.  Edges without a weight take no part; loops and second edges between the
+    same nodes never get in.
+    """
+    best = F.struct(F.col(weight).alias("_w"), (-F.col(src)).alias("_s"), (-F.col(dst)).alias("_d"))
+    work = cut(edges.filter(F.col(weight).isNotNull() & (F.col(src) != F.col(dst))).select(*keys, F.col(src).alias("_a"), F.col(dst).alias("_b"), best.alias("_e")))
+    forest = None
+    while not work.isEmpty():
+        ends = work.select(*keys, F.explode(F.array("_a", "_b")).alias("_node"), F.struct("_e", "_a", "_b").alias("_p"))
+        chosen = cut(ends.groupBy(*keys, "_node").agg(F.max("_p").alias("_p")).select(*keys, "_p._e", "_p._a", "_p._b").distinct())
+        forest = chosen if forest is None else forest.unionByName(chosen)
+        labels = cut(component_labels(chosen, keys, "_a", "_b"))
+        moved = work
+        for end in ("_a", "_b"):
+            moved = moved.join(labels.select(*keys, F.col("node").alias(end), F.col("label").alias("_l")), keys + [end], "left")
+            moved = moved.withColumn(end, F.coalesce("_l", end)).drop("_l")
+        # Of several edges between two components only the best can get in.
+        apart = moved.filter("_a != _b").groupBy(*keys, F.least("_a", "_b").alias("_a"), F.greatest("_a", "_b").alias("_b")).agg(F.max("_e").alias("_e"))
+        before, work = work, cut(apart)
+        drop(before)
+        drop(labels)
+    if forest is None:
+        return edges.limit(0)
+    picked = forest.select(*keys, (-F.col("_e._s")).alias(src), (-F.col("_e._d")).alias(dst)).distinct()
+    return edges.join(picked, [*keys, src, dst], "left_semi")

@@ -8,16 +8,23 @@ pixel_scale and optional rms / mean.  ``snr``: field_id, y, x, snr.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from fieldlink.config import Segmentation
 from fieldlink.functions import geometry as g
+from fieldlink.lineage import cut
 from fieldlink.operators.graph import component_labels
 from fieldlink.operators.ranking import exact_median
 
 PIXEL = ["field_id", "y", "x"]
 LABEL_KEY = ["field_id", "threshold"]
+#: Pixels along the side of a block that one task labels at a time.
+BLOCK_SIDE = 64
 
 
 def sigma_name(threshold: float) -> str:
@@ -158,26 +165,80 @@ def open_mask(mask, fields, connectivity):
 def label_regions(mask: DataFrame, fields: DataFrame, connectivity: int) -> DataFrame:
     """Connected regions; the label is one plus the smallest raster position.
 
-    Pixels are first folded into horizontal runs, so the graph has one node per
-    run instead of one per pixel.
+    An image is cut into square blocks.  Each block is labelled inside one task,
+    and only pixels along the seams between blocks meet in a join, so the graph of
+    regions grows with the seams and no step gathers a whole image.
     """
-    line = W.partitionBy(*LABEL_KEY, "y").orderBy("x")
-    begins = F.when(F.coalesce(F.lag("x").over(line), F.lit(-2)) != F.col("x") - 1, F.col("x"))
-    runs = (
-        mask.join(fields.select("field_id", "width"), "field_id")
-        .withColumn("_b", begins)
-        .withColumn("_b", F.last("_b", ignorenulls=True).over(line.rowsBetween(W.unboundedPreceding, 0)))
-        .select(*LABEL_KEY, "y", "x", (F.col("y").cast("long") * F.col("width") + F.col("_b")).alias("run"))
-    )
-    reach = (-1, 0, 1) if connectivity == 2 else (0,)
-    above = runs.withColumn("_d", F.explode(F.array(*[F.lit(d) for d in reach]))).select(
-        *LABEL_KEY, (F.col("y") + 1).alias("y"), (F.col("x") + F.col("_d")).alias("x"), F.col("run").alias("src")
-    )
-    touching = above.join(runs.withColumnRenamed("run", "dst"), LABEL_KEY + ["y", "x"]).select(*LABEL_KEY, "src", "dst").distinct()
-    found = component_labels(touching, LABEL_KEY, "src", "dst").withColumnRenamed("node", "run")
-    return runs.join(found, LABEL_KEY + ["run"], "left").select(
-        *LABEL_KEY, "y", "x", (F.coalesce("label", "run") + 1).alias("label")
+    parts = cut(label_blocks(mask, fields, connectivity))
+    found = component_labels(block_seams(parts, connectivity), LABEL_KEY, "src", "dst").withColumnRenamed("node", "part")
+    return parts.join(found, LABEL_KEY + ["part"], "left").select(*LABEL_KEY, "y", "x", (F.coalesce("label", "part") + 1).alias("label"))
+
+
+def label_blocks(mask: DataFrame, fields: DataFrame, connectivity: int) -> DataFrame:
+    """(field_id, threshold, y, x, part): the smallest raster position of the region of each pixel within its block."""
+    block = [F.floor(F.col(c) / F.lit(BLOCK_SIDE)).cast("int").alias(f"_b{c}") for c in ("y", "x")]
+    cells = mask.join(fields.select("field_id", "width"), "field_id").select(*LABEL_KEY, "width", "y", "x", *block)
+    blocks = cells.groupBy(*LABEL_KEY, "_by", "_bx").agg(F.first("width").cast("long").alias("width"), F.sort_array(F.collect_list(F.struct("y", "x"))).alias("cells"))
+    rows = blocks.select(*LABEL_KEY, "width", F.transform("cells", lambda c: c.y.cast("long")).alias("ys"), F.transform("cells", lambda c: c.x.cast("long")).alias("xs"))
+    kinds = {f.name: f.dataType.simpleString() for f in mask.schema.fields}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = pc.list_value_length(batch.column(3)).to_numpy(zero_copy_only=False)
+            ys, xs = (batch.column(i).flatten().to_numpy() for i in (3, 4))
+            ends = np.cumsum(sizes)
+            parts = [np.zeros(0, np.int64)]
+            for width, a, b in zip(batch.column(2).to_pylist(), (ends - sizes).tolist(), ends.tolist()):
+                parts.append(_block_parts(ys[a:b], xs[a:b], width, connectivity))
+            take = pa.array(np.repeat(np.arange(batch.num_rows), sizes))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(ys), pa.array(xs), pa.array(np.concatenate(parts))], [*LABEL_KEY, "y", "x", "part"])
+
+    labelled = rows.mapInArrow(run, f"field_id {kinds['field_id']}, threshold {kinds['threshold']}, y long, x long, part long")
+    return labelled.select(*LABEL_KEY, F.col("y").cast(kinds["y"]), F.col("x").cast(kinds["x"]), "part")
+
+
+def _block_parts(ys: np.ndarray, xs: np.ndarray, width: int, connectivity: int) -> np.ndarray:
+    """Smallest raster position connected to each pixel of one block; pixels come in raster order."""
+    fresh = np.ones(len(ys), bool)
+    fresh[1:] = (ys[1:] != ys[:-1]) | (xs[1:] != xs[:-1] + 1)
+    run = np.cumsum(fresh) - 1
+    grid = np.full((int(ys[-1] - ys[0]) + 1, int(xs.max() - xs.min()) + 3), -1, np.int64)
+    grid[ys - ys[0], xs - xs.min() + 1] = run
+    touching = []
+    for step in (-1, 0, 1) if connectivity == 2 else (0,):
+        upper, lower = grid[:-1, 1:-1], grid[1:, 1 + step : grid.shape[1] - 1 + step]
+        both = (upper >= 0) & (lower >= 0)
+        touching.append(np.stack([upper[both], lower[both]], 1))
+    home = list(range(int(run[-1]) + 1))
+
+    def root(i: int) -> int:
+        while home[i] != i:
+            home[i] = home[home[i]]
+            i = home[i]
+        return i
+
+    for i, j in np.unique(np.concatenate(touching), axis=0).tolist():
+        i, j = root(i), root(j)
+        home[max(i, j)] = min(i, j)
+    heads = (ys * width + xs)[fresh]
+    return heads[np.array([root(i) for i in range(len(home))])][run]
+
+
+def block_seams(parts: DataFrame, connectivity: int) -> DataFrame:
+    """(field_id, threshold, src, dst): parts of different blocks that touch, each pair once."""
+    last = F.lit(BLOCK_SIDE - 1)
+    inside = {c: F.pmod(F.col(c), F.lit(BLOCK_SIDE)) for c in ("y", "x")}
+    step = lambda dy, dx: F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"))
+    slant = connectivity == 2
+    down = F.array(*(step(1, d) for d in ((-1, 0, 1) if slant else (0,))))
+    right = F.array(*(step(d, 1) for d in ((-1, 0, 1) if slant else (0,))))
+    none = F.array().cast("array<struct<dy:int,dx:int>>")
+    steps = F.array_union(F.when(inside["y"] == last, down).otherwise(none), F.when(inside["x"] == last, right).otherwise(none))
+    rim = parts.filter(inside["y"].isin(0, BLOCK_SIDE - 1) | inside["x"].isin(0, BLOCK_SIDE - 1))
+    across = rim.withColumn("_s", F.explode(steps)).select(
+        *LABEL_KEY, (F.col("y") + F.col("_s.dy")).alias("y"), (F.col("x") + F.col("_s.dx")).alias("x"), F.col("part").alias("src")
     )
+    return across.join(rim.withColumnRenamed("part", "dst"), LABEL_KEY + ["y", "x"]).filter("src != dst").select(*LABEL_KEY, "src", "dst").distinct()
 
 
 def region_areas(labels: DataFrame) -> DataFrame:

@@ -70,6 +70,38 @@ def group_risk_features(spark, sf):
         "only_2sigma_edge_fraction", "chain_merge_flag", "large_mask_swallow_flag", "local_overmerge_risk_score"), 4)
 
 
+cte("s_treelines", """
+SELECT q.field_id, q.gid, q.i, q.j, any_value(q.fl) AS fl, any_value(q.sep) AS sep, min(s.snr) AS low, avg(CAST(s.snr < 2.5 AS DOUBLE)) AS gap
+FROM (SELECT *, CASE WHEN k = n - 1 THEN x2 ELSE x1 + k*((x2-x1)/(n-1)) END AS sx, CASE WHEN k = n - 1 THEN y2 ELSE y1 + k*((y2-y1)/(n-1)) END AS sy
+ FROM (SELECT *, unnest(range(n)) AS k FROM (SELECT *, greatest(3, CAST(ceil(sep*2) AS INT) + 1) AS n
+  FROM (SELECT a.field_id, a.gid, e.i, e.j, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2, greatest(0, least(a.pk, b.pk)) AS fl, sqrt(pow(b.x-a.x,2) + pow(b.y-a.y,2))/2 AS sep
+   FROM s_final e JOIN s_peaks a ON a.field_id = e.field_id AND a.component_index = e.i JOIN s_peaks b ON b.field_id = e.field_id AND b.component_index = e.j AND b.gid = a.gid
+   WHERE e.decision)))) q
+JOIN snr s ON s.field_id = q.field_id AND s.y = round_even(sy, 0) AND s.x = round_even(sx, 0) GROUP BY 1, 2, 3, 4""", "s_final", "s_peaks", "snr")
+# One edge of each group after the other, best first: it gets in where its ends still have different labels.
+cte("s_treeranks", """
+SELECT t.*, row_number() OVER (PARTITION BY t.field_id, t.gid ORDER BY low DESC, i, j) AS k, a.at AS ai, b.at AS aj
+FROM s_treelines t
+JOIN (SELECT field_id, gid, component_index, row_number() OVER (PARTITION BY field_id, gid ORDER BY component_index) AS at FROM s_peaks) a ON a.field_id = t.field_id AND a.gid = t.gid AND a.component_index = i
+JOIN (SELECT field_id, gid, component_index, row_number() OVER (PARTITION BY field_id, gid ORDER BY component_index) AS at FROM s_peaks) b ON b.field_id = t.field_id AND b.gid = t.gid AND b.component_index = j""", "s_treelines", "s_peaks")
+cte("s_treewalk", """
+SELECT field_id, gid, CAST(0 AS BIGINT) AS k, range(count(*) + 1) AS tags, CAST(false AS BOOLEAN) AS took FROM s_peaks GROUP BY 1, 2
+UNION ALL
+SELECT w.field_id, w.gid, t.k, CASE WHEN tags[ai + 1] <> tags[aj + 1] THEN list_transform(tags, lambda v: CASE WHEN v = tags[aj + 1] THEN tags[ai + 1] ELSE v END) ELSE tags END, tags[ai + 1] <> tags[aj + 1]
+FROM s_treewalk w JOIN s_treeranks t ON t.field_id = w.field_id AND t.gid = w.gid AND t.k = w.k + 1""", "s_peaks", "s_treeranks")
+
+
+@query("all_peak_features", f"""
+SELECT p.field_id, p.gid, p.n AS members, CAST(coalesce(f.edges, 0) AS BIGINT) AS tree_edges,
+ {r("CASE WHEN f.saddle IS NULL THEN 1 ELSE greatest(-1, least(1.5, f.saddle)) END", 'all_saddle_to_peak_ratio', 4)}, {r('coalesce(f.gap, 0)', 'all_ridge_gap_fraction', 4)}
+FROM (SELECT field_id, gid, count(*) AS n FROM s_peaks GROUP BY 1, 2) p
+LEFT JOIN (SELECT field_id, gid, count(*) AS edges, min(low/greatest(fl, 1e-6)) FILTER (sep >= 1 AND fl > 0) AS saddle, max(gap) FILTER (sep >= 1 AND fl > 0) AS gap
+ FROM s_treewalk w JOIN s_treeranks USING (field_id, gid, k) WHERE took GROUP BY 1, 2) f USING (field_id, gid)""", ("s_peaks", "s_treewalk", "s_treeranks"))
+def all_peak_features(spark, sf):
+    members, edges, _, snr, *_ = small_groups(spark, sf)
+    return rounded(sanity.all_peak_features(members, edges, snr, fx.SMALL), 4)
+
+
 @query("edge_cut_risk", f"SELECT field_id, gid, i AS component_index_1, j AS component_index_2, {r('cut_risk', 'cut_risk', 4)} FROM s_cutrisk", ("s_cutrisk",))
 def edge_cut_risk(spark, sf):
     members, edges, *_ = small_groups(spark, sf)
