@@ -81,21 +81,25 @@ class Tree:
             going = going[self.many[at[going]] > 0]
         return at
 
-    def visit(self, scores: np.ndarray, leaves: int) -> list[int]:
-        """The first leaves of one query, best bin first; ``scores`` has its product with every centre."""
-        queue, out = [(-scores[0], 0)], []
-        while queue and len(out) < leaves:
+    def visit(self, scores: np.ndarray, leaves: int, rows: np.ndarray | None = None, least: int = 0) -> list[int]:
+        """The first leaves of one query, best bin first; ``scores`` has its product with every centre.
+
+        With ``rows`` per node, leaves are visited until they also hold ``least`` rows.
+        """
+        queue, out, held = [(-scores[0], 0)], [], 0
+        while queue and (len(out) < leaves or held < least):
             _, node = heapq.heappop(queue)
             if not self.many[node]:
                 out.append(node)
+                held += least if rows is None else int(rows[node])
                 continue
             for child in range(self.first[node], self.first[node] + self.many[node]):
                 heapq.heappush(queue, (-scores[child], child))
         return out
 
 
-def _matrix(column) -> np.ndarray:
-    return np.array([np.frombuffer(b, "<f4") for b in column]).astype(np.float64).reshape(len(column), -1)
+def _matrix(column, kind: str) -> np.ndarray:
+    return np.array([np.frombuffer(b, kind) for b in column]).astype(np.float64).reshape(len(column), -1)
 
 
 def exact(x: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -109,30 +113,36 @@ def top(x: np.ndarray, ids: np.ndarray, uids: np.ndarray, q: np.ndarray, quid: i
     some = np.flatnonzero(rough > -np.inf)
     if len(some) > k:
         least = np.partition(rough, len(rough) - k)[len(rough) - k]
-        some = np.flatnonzero(rough >= least - 1e-9 * (1 + abs(least)))
+        # Rough and exact products differ by rounding, which grows with the lengths of the vectors, not with their product.
+        slack = 4 * len(q) * np.finfo(float).eps * np.sqrt((q**2).sum()) * np.sqrt((x**2).sum(1).max())
+        some = np.flatnonzero(rough >= least - slack)
     score = exact(x[some], q)
     order = np.lexsort((uids[some], ids[some], -score))[:k]
     return some[order], score[order]
 
 
-def prepare(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id, uid, vector binary): rows that take part.
+def prepare(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, str]:
+    """(id, uid, vector binary) of the rows that take part, and the kind of number in the vectors.
+
+    Vectors of floats stay floats; all others are kept as doubles.
 
     Vectors that are null, empty, zero or hold null or non-finite components do
     not; neither do those of another length than most have (the longer of two
     equally frequent ones), nor rows without an id.
     """
-    v = F.col(vector_col).cast("array<float>")
+    single = vectors.schema[vector_col].dataType.simpleString() == "array<float>"
+    kind = "<f4" if single else "<f8"
+    v = F.col(vector_col).cast("array<float>" if single else "array<double>")
     sound = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).filter(sound & F.col("vec_id").isNotNull())
     sizes = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield b[["vec_id", "uid"]].assign(vector=[np.asarray(x, "<f4").tobytes() for x in b["v"]])
+            yield b[["vec_id", "uid"]].assign(vector=[np.asarray(x, kind).tobytes() for x in b["v"]])
 
     kept = rows.filter(F.size("v") == (sizes["n"] if sizes else -1)).withColumn("uid", F.monotonically_increasing_id())
-    return cut(kept.mapInPandas(pack, "vec_id long, uid long, vector binary"))
+    return cut(kept.mapInPandas(pack, "vec_id long, uid long, vector binary")), kind
 
 
 def search(vectors: DataFrame, query_filter, k: int, id_col: str = "vec_id", vector_col: str = "embedding", recall: float = RECALL) -> DataFrame:
@@ -140,24 +150,27 @@ def search(vectors: DataFrame, query_filter, k: int, id_col: str = "vec_id", vec
 
     The score is the inner product in double precision; ties go to the smaller
     id.  A row is never its own neighbour, a repeated row is.  Repeated query rows
-    give repeated results.
+    give repeated results.  Every query gets k rows, or all others if they are fewer.
     """
     spark = vectors.sparkSession
-    rows = prepare(vectors, id_col, vector_col)
+    rows, kind = prepare(vectors, id_col, vector_col)
     by_hash = lambda n: rows.orderBy(F.xxhash64("vector", "uid"), "uid").limit(n)
     sample = [r["vector"] for r in by_hash(SAMPLE).select("vector").collect()]  # bounded
     if not sample:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    tree = Tree(_matrix(sample))
+    tree = Tree(_matrix(sample, kind))
     shared = spark.sparkContext.broadcast(tree)
 
     def file(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            leaf = shared.value.file(_matrix(b["vector"])) if len(b) else np.zeros(0, np.int64)
+            leaf = shared.value.file(_matrix(b["vector"], kind)) if len(b) else np.zeros(0, np.int64)
             yield b.assign(leaf=leaf, branch=shared.value.branch[leaf])
 
     filed = cut(rows.mapInPandas(file, "vec_id long, uid long, vector binary, leaf long, branch long"))
-    visits = calibrate(filed, by_hash(CALIBRATION).collect(), tree, k, recall)
+    visits = calibrate(filed, by_hash(CALIBRATION).collect(), tree, k, recall, kind)
+    held = np.zeros(len(tree.many), np.int64)
+    for r in filed.groupBy("leaf").count().collect():  # a row per leaf of the tree
+        held[r["leaf"]] = r["count"]
 
     asked = filed.filter(query_filter).select(F.col("vec_id").alias("query_id"), F.col("uid").alias("quid"), F.col("vector").alias("query"))
 
@@ -166,10 +179,10 @@ def search(vectors: DataFrame, query_filter, k: int, id_col: str = "vec_id", vec
         for b in batches:
             if not len(b):
                 continue
-            scores = _matrix(b["query"]) @ tree.centres.T
+            scores = _matrix(b["query"], kind) @ tree.centres.T
             out = []
             for i, s in enumerate(scores):
-                leaves = np.array(tree.visit(s, visits))
+                leaves = np.array(tree.visit(s, visits, held, k + 1))
                 branch = tree.branch[leaves]
                 out += [(i, int(g), leaves[branch == g].astype("<i4").tobytes()) for g in np.unique(branch)]
             at = [x[0] for x in out]
@@ -196,10 +209,10 @@ def search(vectors: DataFrame, query_filter, k: int, id_col: str = "vec_id", vec
     def meet(rows: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(rows) and len(asks):
-            x, ids, uids, leaf = _matrix(rows["vector"]), rows["vec_id"].to_numpy(), rows["uid"].to_numpy(), rows["leaf"].to_numpy()
+            x, ids, uids, leaf = _matrix(rows["vector"], kind), rows["vec_id"].to_numpy(), rows["uid"].to_numpy(), rows["leaf"].to_numpy()
             for at in range(0, len(asks), 256):
                 part = asks.iloc[at : at + 256]
-                q = _matrix(part["query"])
+                q = _matrix(part["query"], kind)
                 near = q @ x.T
                 for i, (qid, quid, leaves) in enumerate(zip(part["query_id"], part["quid"], part["leaves"])):
                     asked_for = np.isin(leaf, np.frombuffer(leaves, "<i4"))
@@ -214,16 +227,16 @@ def search(vectors: DataFrame, query_filter, k: int, id_col: str = "vec_id", vec
     return met.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def calibrate(filed: DataFrame, asks: list, tree: Tree, k: int, recall: float) -> int:
+def calibrate(filed: DataFrame, asks: list, tree: Tree, k: int, recall: float, kind: str) -> int:
     """The number of leaves that reaches the recall for the asking rows, against brute force over all rows."""
-    q = _matrix([r["vector"] for r in asks])
+    q = _matrix([r["vector"] for r in asks], kind)
     quids = np.array([r["uid"] for r in asks])
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if not len(b):
                 continue
-            x, ids, uids, leaf = _matrix(b["vector"]), b["vec_id"].to_numpy(), b["uid"].to_numpy(), b["leaf"].to_numpy()
+            x, ids, uids, leaf = _matrix(b["vector"], kind), b["vec_id"].to_numpy(), b["uid"].to_numpy(), b["leaf"].to_numpy()
             near = q @ x.T
             for i in range(len(q)):
                 places, score = top(x, ids, uids, q[i], quids[i], near[i], k)

@@ -207,6 +207,22 @@ def test_search_reaches_recall_and_ranks_exactly(spark):
     assert ann.search(frame.limit(0), "vec_id % 20 = 0", 20).count() == 0
 
 
+def test_every_query_gets_its_full_number_of_rows(spark):
+    for seed, n in ((0, 40), (1, 90), (2, 18)):
+        rng = np.random.default_rng(seed)
+        centres = rng.standard_normal((6, 8)) * 5
+        x = centres[rng.integers(0, 6, n) * rng.integers(0, 2, n)] + rng.standard_normal((n, 8)) * 0.3
+        frame = spark.createDataFrame([(i * 4, [float(v) for v in x[i]]) for i in range(n)], "vec_id long, embedding array<double>")
+        got = ann.search(frame, "vec_id % 20 = 0", 20, recall=0.1).groupBy("query_id").count().collect()
+        assert len(got) == -(-n // 5) and all(r["count"] == min(20, n - 1) for r in got)
+
+
+def test_double_vectors_are_ranked_as_doubles(spark):
+    rows = [(i, [1.0, 1.0 + i * 1e-10]) for i in range(5)] + [(9, [1e300, -1e300]), (20, [1.0, 1.0])]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id = 20", 4).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [4, 3, 2, 1] and got[0].score == 2 + 4e-10 and len({r.score for r in got}) == 4
+
+
 def test_quality_votes():
     good, bad = ["the cat sat on the mat and looked %d" % i for i in range(40)], ["$$$ ### %%%% !!! | | | %d" % i for i in range(40)]
     space = quality.fit(quality.counts(good + bad), np.array([1] * 40 + [0] * 40), {0: 1.0, 1: 1.0})
