@@ -75,6 +75,8 @@ class Segmentation:
     connectivity: int = 2
     opening: bool = False
     closing: bool = True
+    #: Fields must come with mean and rms; otherwise missing ones are estimated from the pixels.
+    require_metadata: bool = False
 
     def __post_init__(self):
         ts = self.thresholds

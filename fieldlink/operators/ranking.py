@@ -3,13 +3,16 @@
 ``row_number() over (partition by field ...)`` sorts a whole field in a single
 task.  When one field holds a large share of the rows that task never ends, so
 positions are built from two bounded steps: rows are ranked inside small ordered
-buckets, and the bucket totals are accumulated per field.
+buckets, and the bucket totals are accumulated per field.  Medians narrow the
+range of their ranks by counting.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from fieldlink.lineage import cut
+
 BUCKET_ROWS = 1 << 16
 
 
@@ -56,43 +59,42 @@ def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str
     return df.withColumn(rank, F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter(F.col(rank) <= k)
 
 
-def exact_median(df: DataFrame, keys: list[str], value: str, name: str, bins: int = 4096) -> DataFrame:
-    """Exact median per key through a histogram, then only the middle bins.
+def exact_median(df: DataFrame, keys: list[str], value: str, name: str, bins: int = 4096, small: int = 1 << 14) -> DataFrame:
+    """Exact median per key by narrowing the range that holds the middle ranks.
 
-    The histogram is combined before the shuffle; what remains for the last step
-    is the one or two bins that hold the middle ranks, as distinct values with
-    counts.
+    In a round the values between two bounds are counted in equal bins, combined
+    before the shuffle; the bin of the wanted rank, cut to its least and greatest
+    value, gives the next bounds.  This ends when a bin holds one value or at most
+    ``small`` rows, which alone are sorted.  A far outlier thus costs one more
+    round (values over hundreds of decades cost many, as each divides the range by ``bins``), and no task sees more than bins or ``small`` rows of a key, however the
+    values lie.  Values must be finite; nulls take no part, and a key without
+    values gives no row.
     """
-    present = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    spread = present.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("_n"))
-    # Scaled to the range of the key, so equal values share a bin.
-    place = F.when(
-        F.col("_hi") > F.col("_lo"),
-        F.least(F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins), F.lit(bins - 1)),
-    ).otherwise(F.lit(0)).cast("int")
-    counted = present.groupBy(*keys, "_v").agg(F.count("*").alias("_m"))
-    binned = counted.join(spread, keys).withColumn("_b", place)
-    order = W.partitionBy(*keys).orderBy("_b")
-    hist = (
-        binned.groupBy(*keys, "_b")
-        .agg(F.sum("_m").alias("_h"), F.first("_n").alias("_n"))
-        .withColumn("_upto", F.sum("_h").over(order.rowsBetween(W.unboundedPreceding, 0)))
-        .withColumn("_start", F.col("_upto") - F.col("_h"))
-        .withColumn("_r1", F.floor((F.col("_n") - 1) / 2))
-        .withColumn("_r2", F.floor(F.col("_n") / 2))
-    )
-    middle = hist.filter((F.col("_start") <= F.col("_r2")) & (F.col("_upto") > F.col("_r1"))).select(
-        *keys, "_b", "_start", "_r1", "_r2"
-    )
-    upto = W.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
-    ranked = (
-        binned.select(*keys, "_b", "_v", "_m")
-        .join(middle, keys + ["_b"])
-        .withColumn("_last", F.col("_start") + F.sum("_m").over(upto) - 1)
-        .withColumn("_first", F.col("_last") - F.col("_m") + 1)
-    )
-
-    def at(rank: str) -> Column:
-        return F.max(F.when((F.col("_first") <= F.col(rank)) & (F.col("_last") >= F.col(rank)), F.col("_v")))
-
-    return ranked.groupBy(*keys).agg(((at("_r1") + at("_r2")) / 2.0).alias(name))
+    present = cut(df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v")))
+    whole = present.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("_n"))
+    ranks = F.array_distinct(F.array(F.expr("(_n - 1) div 2"), F.expr("_n div 2")))
+    state = cut(whole.select(*keys, "_lo", "_hi", "_n", F.lit(0).cast("long").alias("_under"), F.explode(ranks).alias("_r")))
+    aim = [*keys, "_r"]
+    settled = None
+    rough = (F.col("_lo") < F.col("_hi")) & (F.col("_n") > small)
+    while True:
+        ended = state.filter(~rough).select(*aim, "_lo", "_hi", "_under")
+        settled = ended if settled is None else settled.unionByName(ended)
+        open_ = state.filter(rough)
+        if open_.isEmpty():
+            break
+        inside = present.join(open_.drop("_n"), keys).filter(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+        # Halves keep the width of the widest ranges finite.
+        place = F.least(F.floor((F.col("_v") / 2 - F.col("_lo") / 2) / (F.col("_hi") / 2 - F.col("_lo") / 2) * bins), F.lit(bins - 1).cast("long"))
+        upto = W.partitionBy(*aim).orderBy("_b").rowsBetween(W.unboundedPreceding, 0)
+        counted = (
+            inside.groupBy(*aim, "_under", place.alias("_b")).agg(F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+            .withColumn("_before", F.col("_under") + F.sum("_n").over(upto) - F.col("_n"))
+        )
+        held = (F.col("_before") <= F.col("_r")) & (F.col("_r") < F.col("_before") + F.col("_n"))
+        state = cut(counted.filter(held).select(*aim, "_lo", "_hi", "_n", F.col("_before").alias("_under")))
+    flat = settled.filter("_lo = _hi").select(*aim, F.col("_lo").alias("_v"))
+    narrow = present.join(settled.filter("_lo < _hi"), keys).filter(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+    order = F.row_number().over(W.partitionBy(*aim).orderBy("_v"))
+    sorted_ = narrow.withColumn("_at", F.col("_under") + order - 1).filter("_at = _r").select(*aim, "_v")
+    return flat.unionByName(sorted_).groupBy(*keys).agg(((F.min("_v") + F.max("_v")) / 2.0).alias(name))

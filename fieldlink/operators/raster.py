@@ -41,8 +41,11 @@ def background(pixels: DataFrame, fields: DataFrame, seg: Segmentation) -> DataF
     """Per field: mean_value, rms_value and the median used to fill bad pixels.
 
     A supplied value wins.  The two median passes only read the fields that
-    need them.
+    need them.  Where metadata is required, a field without it ends the job; see
+    :func:`metadata_issues`.
     """
+    if seg.require_metadata:
+        return _required_background(pixels, fields)
     supplied = fields.select("field_id", _column(fields, "mean").alias("_mean"), _column(fields, "rms").alias("_rms"))
     values = pixels.select("field_id", g.finite(F.col("value")).alias("v"))
     basic = values.groupBy("field_id").agg(F.avg("v").alias("_avg"), F.stddev_pop("v").alias("_std"))
@@ -63,6 +66,31 @@ def background(pixels: DataFrame, fields: DataFrame, seg: Segmentation) -> DataF
     )
 
 
+def metadata_issues(fields: DataFrame, pixels: DataFrame | None = None) -> DataFrame:
+    """(field_id, issue): fields without a finite mean or a positive rms, in their row or in any of their pixels."""
+    rows = fields.select("field_id", _column(fields, "mean").alias("_mean"), _column(fields, "rms").alias("_rms"))
+    if pixels is not None:
+        maps = pixels.groupBy("field_id").agg(*(F.bool_or(_column(pixels, c).isNotNull() & (_column(pixels, c) > 0 if c == "rms" else F.lit(True))).alias(f"_has_{c}") for c in ("mean", "rms")))
+        rows = rows.join(maps, "field_id", "left")
+    else:
+        rows = rows.withColumns({"_has_mean": F.lit(False), "_has_rms": F.lit(False)})
+    mean = F.col("_mean").isNull() & ~F.coalesce("_has_mean", F.lit(False))
+    rms = (F.col("_rms").isNull() | (F.col("_rms") <= 0)) & ~F.coalesce("_has_rms", F.lit(False))
+    found = F.array_compact(F.array(F.when(mean, "missing_mean"), F.when(rms, "missing_rms")))
+    return rows.select("field_id", F.explode(found).alias("issue"))
+
+
+def _required_background(pixels: DataFrame, fields: DataFrame) -> DataFrame:
+    bad = metadata_issues(fields, pixels).groupBy("field_id").agg(F.array_join(F.sort_array(F.collect_set("issue")), ",").alias("_issue"))
+    known = fields.select("field_id", _column(fields, "mean").alias("_mean"), _column(fields, "rms").alias("_rms")).join(bad, "field_id", "left")
+    stop = F.raise_error(F.concat(F.lit("field "), F.col("field_id").cast("string"), F.lit(": "), F.col("_issue"))).cast("double")
+    checked = lambda c: F.when(F.col("_issue").isNotNull(), stop).otherwise(F.col(c))
+    fill = exact_median(pixels.select("field_id", g.finite(F.col("value")).alias("v")), ["field_id"], "v", "_median")
+    return known.join(fill, "field_id", "left").select(
+        "field_id", checked("_mean").alias("mean_value"), checked("_rms").alias("rms_value"), F.coalesce("_median", F.lit(0.0)).alias("fill_value")
+    )
+
+
 # ---- smoothing and S/N -----------------------------------------------------
 
 def _smooth_axis(df: DataFrame, along: str, across: str, size: str, weights: list[float]) -> DataFrame:

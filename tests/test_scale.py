@@ -1,12 +1,15 @@
 """Long chains, big groups and images of many blocks against plain Python."""
 
 import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
 
+from fieldlink.config import Segmentation
 from fieldlink.operators import raster
 from fieldlink.operators.graph import component_labels, greedy_matching, maximum_spanning_forest
+from fieldlink.operators.ranking import exact_median
 
 
 @pytest.mark.parametrize("capacity", [1, 2])
@@ -97,3 +100,29 @@ def test_regions_across_blocks(spark, monkeypatch, connectivity):
     print("seams", seams, "pixels", len(rows))
     assert 0 < seams < len(rows) / 2
     assert raster.label_regions(mask.limit(0), fields, connectivity).count() == 0
+
+
+def test_median_behind_a_far_outlier(spark):
+    rng = random.Random(4)
+    sets = {
+        "outlier": [rng.gauss(0, 1) for _ in range(40_000)] + [1e5], "even": [rng.gauss(0, 1) for _ in range(9000)] + [1e300, -1e300], "ties": [3.0] * 30_000 + [7.0] * 30_000,
+        "wide": [rng.choice([-1, 1]) * 10.0 ** rng.uniform(-300, 300) for _ in range(5001)], "one": [2.5], "none": [None],
+    }
+    df = spark.createDataFrame([(k, v) for k, vs in sets.items() for v in vs], "k string, v double")
+    want = {k: statistics.median(vs) for k, vs in sets.items() if vs[0] is not None}
+    assert {r.k: r.m for r in exact_median(df, ["k"], "v", "m").collect()} == want
+    narrow = exact_median(df.filter("k != 'wide'"), ["k"], "v", "m", bins=512, small=50)
+    assert {r.k: r.m for r in narrow.collect()} == {k: m for k, m in want.items() if k != "wide"}
+
+
+def test_required_metadata(spark):
+    pixels = spark.createDataFrame([(f, y, x, float(y + x)) for f in "abc" for y in range(3) for x in range(3)], "field_id string, y int, x int, value double")
+    fields = spark.createDataFrame([("a", 1.0, 2.0), ("b", None, 2.0), ("c", 1.0, 0.0)], "field_id string, mean double, rms double")
+    assert sorted(map(tuple, raster.metadata_issues(fields, pixels).collect())) == [("b", "missing_mean"), ("c", "missing_rms")]
+    strict = Segmentation(require_metadata=True)
+    row = raster.background(pixels, fields.filter("field_id = 'a'"), strict).first()
+    assert (row.mean_value, row.rms_value, row.fill_value) == (1.0, 2.0, 2.0)
+    with pytest.raises(Exception, match="missing_mean"):
+        raster.background(pixels, fields, strict).collect()
+    with_maps = pixels.withColumn("mean", F.lit(0.5)).withColumn("rms", F.lit(1.5))
+    assert raster.metadata_issues(fields, with_maps).count() == 0
