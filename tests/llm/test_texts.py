@@ -71,6 +71,24 @@ def test_components_equal_all_pairs(spark, copies):
     assert kept.columns == docs.columns and kept.count() == len(fives) and alone == 3
 
 
+def test_components_of_texts_just_below_the_limit_and_of_repeated_rows(spark):
+    # Texts with a few changes each against one base: most pairs lie between 0.6 and 0.8, some links cross between them.
+    rng = random.Random(11)
+    base = [word(rng) + str(i) for i in range(140)]
+    rows = []
+    for k in range(150):
+        new = list(base)
+        for i in rng.sample(range(8, 132, 3), rng.choice([3, 4, 5, 6])):
+            new[i] = rng.choice(["red", "green", "blue"])
+        rows.append((k, " ".join(new)))
+    rows += [(500 + k // 50, " ".join(base[:60] + ["x"] * (k // 50))) for k in range(100)]
+    sets, groups = plain_components(rows, 4)
+    want = [(rows[i][0], len(sets[i]), min(rows[j][0] for j in members)) for members in groups.values() for i in members]
+    assert 10 < len(groups) < 150
+    got = [tuple(r)[:3] for r in near_dup.components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 4).collect()]
+    assert sorted(got) == sorted(want)
+
+
 def test_odd_sketch_estimates_similarity():
     rng = np.random.default_rng(1)
     for share in (0.8, 0.9):
