@@ -54,7 +54,7 @@ STAGES = [
     ("packing", packed),
 ]
 
-#: Trained models, tokens and best-fit order are beyond SQL: the stages are tested one by one against plain Python.
+#: Trained models, tokens and best-fit order are beyond SQL; tests/llm/ holds the operators behind the stages against plain Python.
 ORACLE_SQL = None
 
 
