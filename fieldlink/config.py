@@ -267,6 +267,8 @@ class Hosts:
     max_radius_arcsec: float = 30.0
     radius_fraction: float = 0.12
     max_rows_per_lookup: int = 20
+    #: The row limit keeps the best scored hosts; otherwise the nearest ones, cut before scoring as a lookup service does.
+    limit_after_score: bool = True
     max_lookups: int | None = None
     score_weight: float = 1.0
     min_quality: str = "medium"

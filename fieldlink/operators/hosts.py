@@ -5,7 +5,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from fieldlink.config import Config
 from fieldlink.functions import geometry as g
@@ -45,6 +45,7 @@ def lookups(pairs: DataFrame, cfg: Config) -> DataFrame:
 
 
 LOOKUP = ["field_id", "group_index_1", "group_index_2", "role"]
+NEAREST = ["separation_arcsec", "host_id"]
 
 
 def priority(catalogue: Column, cfg: Config) -> Column:
@@ -54,20 +55,34 @@ def priority(catalogue: Column, cfg: Config) -> Column:
     return out
 
 
+def cone_hits(places: DataFrame, hosts: DataFrame, cfg: Config) -> DataFrame:
+    """Every host of a known catalogue within the radius of a lookup; the smaller table is the one that is copied to cells."""
+    known = hosts.filter(priority(F.col("catalogue"), cfg).isNotNull()).drop("field_id")
+    widest = max(cfg.hosts.max_radius_arcsec, cfg.parents.lobe_radius_max)
+    return cone_join(places, known, "q_ra", "q_dec", "host_ra", "host_dec", "q_radius", widest, copy_sources=known.count() < places.count())
+
+
+def first_catalogue(hits: DataFrame, order: list[Column | str], cfg: Config) -> DataFrame:
+    """Hits of the first catalogue that has any, at most the row limit per lookup in the given order, with ``host_rank``.
+
+    Rows of the first catalogue come first in the cut to the limit, so no aggregate has to be joined back.
+    """
+    known = hits.withColumn("_catalogue", priority(F.col("catalogue"), cfg))
+    kept = top_k(known, LOOKUP, [F.col("_catalogue"), *order], cfg.hosts.max_rows_per_lookup)
+    first = F.min("_catalogue").over(W.partitionBy(*LOOKUP))
+    return kept.withColumn("_first", first).filter("_catalogue = _first").withColumnRenamed("_rank", "host_rank").drop("_first", "_catalogue")
+
+
 def cross_match(places: DataFrame, hosts: DataFrame, cfg: Config) -> DataFrame:
     """Hits of the first catalogue that has any, at most the row limit per lookup (nearest first)."""
-    known = hosts.withColumn("_rank_cat", priority(F.col("catalogue"), cfg)).filter("_rank_cat is not null")
-    widest = max(cfg.hosts.max_radius_arcsec, cfg.parents.lobe_radius_max)
-    hits = cone_join(places, known.drop("field_id"), "q_ra", "q_dec", "host_ra", "host_dec", "q_radius", widest)
-    first = hits.groupBy(*LOOKUP).agg(F.min("_rank_cat").alias("_first"))
-    own = hits.join(first, LOOKUP).filter("_rank_cat = _first")
-    return top_k(own, LOOKUP, [F.col("separation_arcsec"), F.col("host_id")], cfg.hosts.max_rows_per_lookup).drop("_rank", "_first", "_rank_cat")
+    return first_catalogue(cone_hits(places, hosts, cfg), NEAREST, cfg).drop("host_rank")
 
 
 def query_log(places: DataFrame, hits: DataFrame, cfg: Config) -> DataFrame:
     """One row per lookup and catalogue that was asked: those up to the first with results."""
     names = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(n).alias("n")) for i, n in enumerate(cfg.hosts.catalogues)])
-    found = hits.withColumn("_i", priority(F.col("catalogue"), cfg)).groupBy(*LOOKUP).agg(F.min("_i").alias("_first"), F.count("*").alias("_hits"))
+    counted = hits.groupBy(*LOOKUP, priority(F.col("catalogue"), cfg).alias("_i")).agg(F.count("*").alias("_n"))
+    found = counted.groupBy(*LOOKUP).agg(F.min("_i").alias("_first"), F.min_by("_n", "_i").alias("_hits"))
     asked = places.select(*LOOKUP, "q_ra", "q_dec", "q_radius").join(found, LOOKUP, "left").withColumn("_c", F.explode(names)).filter(
         F.col("_first").isNull() | (F.col("_c.i") <= F.col("_first"))
     )
@@ -127,9 +142,6 @@ def score_lobe_peaks(hits: DataFrame, cfg: Config) -> DataFrame:
     ).drop("_d")
 
 
-def ranked(scored: DataFrame) -> DataFrame:
-    """Best host first: score descending, separation ascending."""
-    from pyspark.sql import Window as W
-
-    order = W.partitionBy(*LOOKUP).orderBy(F.col("host_score").desc(), "separation_arcsec", "host_id")
-    return scored.withColumn("host_rank", F.row_number().over(order))
+def ranked(scored: DataFrame, cfg: Config) -> DataFrame:
+    """Best hosts of the first catalogue with hits: score descending, separation ascending; the row limit comes after the scores."""
+    return first_catalogue(scored, [-F.col("host_score"), *NEAREST], cfg)

@@ -9,6 +9,9 @@ from fieldlink.functions import geometry as g
 from fieldlink.operators.ranking import positions
 from fieldlink.operators.sky import cone_join
 
+#: Sky cells along the radius of the largest field.
+CELLS_ALONG = 8
+
 
 def _inside():
     return (F.col("x") >= 0) & (F.col("x") < F.col("width")) & (F.col("y") >= 0) & (F.col("y") < F.col("height"))
@@ -17,7 +20,8 @@ def _inside():
 def sky_matches(catalogue: DataFrame, fields: DataFrame, cfg: Config, widest_arcsec: float) -> DataFrame:
     """Rows with sky positions inside a field, with pixel positions.
 
-    ``widest_arcsec`` bounds the search radius of all fields and sizes the cells.
+    ``widest_arcsec`` bounds the search radius of all fields.  A field covers many
+    sky cells of an eighth of it, so its catalogue is spread over tasks.
     """
     scale = F.col("pixel_scale")
     half = 0.5 * F.sqrt(F.pow(F.col("width").cast("double"), 2) + F.pow(F.col("height").cast("double"), 2)) * scale
@@ -26,7 +30,7 @@ def sky_matches(catalogue: DataFrame, fields: DataFrame, cfg: Config, widest_arc
         ra_c, dec_c = F.coalesce("centre_ra", ra_c), F.coalesce("centre_dec", dec_c)
     targets = fields.select("*", (half + cfg.preselect_margin_arcsec).alias("_reach"), ra_c.alias("_rac"), dec_c.alias("_decc"))
     near = cone_join(targets, catalogue.filter(F.col("ra").isNotNull() & F.col("dec").isNotNull()).drop("x", "y", "pixel_scale", "field_id"),
-                     "_rac", "_decc", "ra", "dec", "_reach", widest_arcsec)
+                     "_rac", "_decc", "ra", "dec", "_reach", widest_arcsec, cell_arcsec=widest_arcsec / CELLS_ALONG)
     x, y = g.sky_to_pixel(*[F.col(c) for c in ("ra", "dec", "ra0", "dec0", "px0", "py0", "step_x", "step_y")])
     return near.select("*", x.alias("x"), y.alias("y")).drop("_reach", "_rac", "_decc", "separation_arcsec").withColumn("inside", g.yes(_inside())).withColumn("match_mode", F.lit("sky"))
 

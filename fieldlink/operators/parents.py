@@ -374,10 +374,11 @@ def host_evidence(edges: DataFrame, hosts: DataFrame, cfg: Config) -> tuple[Data
         return none, None, None
     open_pairs = edges.filter("double_lobe_geometry_pass")
     places = cut(host_ops.lookups(open_pairs, cfg))
-    hits = cut(host_ops.cross_match(places, hosts.withColumn("host_id", F.col("host_id").cast("string")), cfg))
+    find = host_ops.cone_hits if h.limit_after_score else host_ops.cross_match
+    hits = cut(find(places, hosts.withColumn("host_id", F.col("host_id").cast("string")), cfg))
     log = host_ops.query_log(places, hits, cfg)
-    mid = host_ops.ranked(host_ops.score_midpoint(hits.filter("role = 'midpoint'"), cfg))
-    lobe = host_ops.ranked(host_ops.score_lobe_peaks(hits.filter("role != 'midpoint'"), cfg))
+    mid = host_ops.ranked(host_ops.score_midpoint(hits.filter("role = 'midpoint'"), cfg), cfg)
+    lobe = host_ops.ranked(host_ops.score_lobe_peaks(hits.filter("role != 'midpoint'"), cfg), cfg)
     best = mid.filter("host_rank = 1").select(
         *PAIR, F.col("host_score").alias("best_host_score"), F.col("host_quality"), F.col("catalogue").alias("best_host_catalog"), F.col("host_id").alias("best_host_id"),
         F.col("host_ra").alias("best_host_ra"), F.col("host_dec").alias("best_host_dec"), F.col("separation_arcsec").alias("best_host_sep_midpoint_arcsec"),

@@ -77,7 +77,7 @@ def cone_search_query(spark, sf):
        ("catalogue", "hosts"))
 def cone_join_query(spark, sf):
     left = fx.catalogue(spark, sf).select("component_id", "ra", "dec", F.lit(40.0).alias("radius"))
-    met = cone_join(left, fx.hosts(spark, sf).select("host_id", "host_ra", "host_dec"), "ra", "dec", "host_ra", "host_dec", "radius", 40.0)
+    met = cone_join(left, fx.hosts(spark, sf).select("host_id", "host_ra", "host_dec"), "ra", "dec", "host_ra", "host_dec", "radius", 40.0, copy_sources=True)
     return rounded(met.select("component_id", "host_id", "separation_arcsec"), 4)
 
 

@@ -201,7 +201,7 @@ UNION ALL SELECT q.field_id, q.i, q.j, 'lobe1_peak', a.ra + 1/3600.0, a.dec, 6,
 UNION ALL SELECT q.field_id, q.i, q.j, 'lobe2_peak', b.ra + 1/3600.0, b.dec, 6, 0, 0, 0, 0 FROM ppairs q JOIN pgroups b ON b.field_id = q.field_id AND b.gi = q.j""", "ppairs", "pgroups")
 cte("allhits", f"""
 SELECT * FROM (SELECT p.*, h.* , CASE catalogue WHEN 'catwise2020' THEN 0 WHEN 'allwise' THEN 1 END AS pr, {SEP.format(a1='qra', d1='qdec', a2='host_ra', d2='host_dec')} AS sep
- FROM places p JOIN near_hosts h ON abs(h.host_dec - p.qdec) < 0.01 AND abs(h.host_ra - p.qra) < 0.01) WHERE sep <= rad""", "places", "near_hosts")
+ FROM (SELECT *, unnest(range(-1, 2)) + CAST(floor(qra*100) AS BIGINT) AS strip FROM places) p JOIN near_hosts h ON strip = CAST(floor(h.host_ra*100) AS BIGINT) AND abs(h.host_dec - p.qdec) < 0.01) WHERE sep <= rad""", "places", "near_hosts")
 cte("hits", """
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY field_id, i, j, role ORDER BY sep, host_id) AS hr FROM (SELECT *, min(pr) OVER (PARTITION BY field_id, i, j, role) AS first FROM allhits) WHERE pr = first) WHERE hr <= 20""", "allhits")
 
@@ -235,21 +235,37 @@ def host_query_log(spark, sf):
     return host_ops.query_log(places, cut(hits), CFG).select(*PAIR, "role", "catalogue", "n_results")
 
 
-@query("midpoint_host_scores", f"""
-SELECT field_id, i AS group_index_1, j AS group_index_2, host_id, {r('perp', 'host_perp_offset_beam', 3)}, {r('frac', 'host_fractional_position', 3)}, {r('score', 'host_score', 3)},
- CASE WHEN score >= 3 AND perp <= 1.5 AND frac BETWEEN 0.35 AND 0.65 THEN 'high' WHEN score >= 2 AND perp <= 2 AND frac BETWEEN 0.25 AND 0.75 THEN 'medium' ELSE 'low' END AS host_quality
-FROM (SELECT *, 2*greatest(0, least(1, 1 - sep/rad)) + 1.5*coalesce(greatest(0, least(1, 1 - perp/2)), 0)*CAST(perp IS NOT NULL AS INT) + 0.8*det + CASE WHEN w1 - w2 >= 0.8 THEN 0.5 ELSE 0 END - CASE WHEN cc_flags <> '0000' THEN 1 ELSE 0 END AS score
+def midpoint_scores(source: str) -> str:
+    return f"""SELECT *, 2*greatest(0, least(1, 1 - sep/rad)) + 1.5*coalesce(greatest(0, least(1, 1 - perp/2)), 0)*CAST(perp IS NOT NULL AS INT) + 0.8*det + CASE WHEN w1 - w2 >= 0.8 THEN 0.5 ELSE 0 END - CASE WHEN cc_flags <> '0000' THEN 1 ELSE 0 END AS score
  FROM (SELECT *, CASE WHEN s12 > 0 THEN abs(s1h*sin(pah - pa12))/6 END AS perp, CASE WHEN s12 > 0 THEN s1h*cos(pah - pa12)/s12 END AS frac, CASE WHEN w2_snr IS NULL THEN least(1, w1_snr/10) ELSE (least(1, w1_snr/10) + least(1, w2_snr/10))/2 END AS det
   FROM (SELECT *, {SEP.format(a1='ra1', d1='dec1', a2='ra2', d2='dec2')} AS s12, {SEP.format(a1='ra1', d1='dec1', a2='host_ra', d2='host_dec')} AS s1h,
    atan2(sin(radians(ra2-ra1))*cos(radians(dec2)), cos(radians(dec1))*sin(radians(dec2)) - sin(radians(dec1))*cos(radians(dec2))*cos(radians(ra2-ra1))) AS pa12,
    atan2(sin(radians(host_ra-ra1))*cos(radians(host_dec)), cos(radians(dec1))*sin(radians(host_dec)) - sin(radians(dec1))*cos(radians(host_dec))*cos(radians(host_ra-ra1))) AS pah
-   FROM hits WHERE role = 'midpoint')))""", ("hits",))
+   FROM {source} WHERE role = 'midpoint'))"""
+
+
+cte("midscores", midpoint_scores("hits"), "hits")
+cte("midranks", f"""
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY field_id, i, j ORDER BY score DESC, sep, host_id) AS place FROM ({midpoint_scores("(SELECT *, min(pr) OVER (PARTITION BY field_id, i, j, role) AS first FROM allhits)")}) WHERE pr = first) WHERE place <= 20""", "allhits")
+
+
+@query("midpoint_host_scores", f"""
+SELECT field_id, i AS group_index_1, j AS group_index_2, host_id, {r('perp', 'host_perp_offset_beam', 3)}, {r('frac', 'host_fractional_position', 3)}, {r('score', 'host_score', 3)},
+ CASE WHEN score >= 3 AND perp <= 1.5 AND frac BETWEEN 0.35 AND 0.65 THEN 'high' WHEN score >= 2 AND perp <= 2 AND frac BETWEEN 0.25 AND 0.75 THEN 'medium' ELSE 'low' END AS host_quality
+FROM midscores""", ("midscores",))
 def midpoint_host_scores(spark, sf):
     _, hits = cross(spark, sf)
     scored = host_ops.score_midpoint(cut(hits.filter("role = 'midpoint'")), CFG)
     return rounded(scored.select(*PAIR, "host_id", "host_perp_offset_beam", "host_fractional_position", "host_score", "host_quality"), 3)
 
 
+@query("midpoint_host_ranks", f"""SELECT field_id, i AS group_index_1, j AS group_index_2, host_id, place AS host_rank, {r('score', 'host_score', 3)} FROM midranks""", ("midranks",))
+def midpoint_host_ranks(spark, sf):
+    """All hits are scored before the row limit, so a far host of a crowded cone can lead."""
+    hits = cut(host_ops.cone_hits(pair_places(spark, sf).filter("role = 'midpoint'"), near_hosts(spark, sf), CFG))
+    return rounded(host_ops.ranked(host_ops.score_midpoint(hits, CFG), CFG).select(*PAIR, "host_id", F.col("host_rank").cast("long").alias("host_rank"), "host_score"), 3)
+
+
 @query("lobe_peak_host_scores", f"""
 SELECT field_id, i AS group_index_1, j AS group_index_2, role, host_id, {r('score', 'host_score', 3)}, CASE WHEN score >= 2 AND sep <= 0.6*rad THEN 'high' WHEN score >= 1.2 THEN 'medium' ELSE 'low' END AS host_quality
 FROM (SELECT *, 1.8*greatest(0, least(1, 1 - sep/rad)) + 0.8*CASE WHEN det = 0 THEN 0.5 ELSE det END AS score FROM (SELECT *, least(1, w1_snr/10) + CASE WHEN w2_snr IS NULL THEN 0 ELSE 0.5*least(1, w2_snr/10) END AS det FROM hits WHERE role <> 'midpoint'))""", ("hits",))
