@@ -6,7 +6,10 @@ space, empty lines, line ends, colons and parentheses.  Comment marks and number
 of list items at line starts go.  A known licence sentence between two such places
 stands for its identifier, even where it is wrapped over lines; any other text ends
 a run.  Runs of identifiers are then matched, in order, against the licence rules; a
-rule names sentences that follow each other.
+rule names sentences that follow each other.  A GNU licence without a version is
+named without one; BSD notices are told apart by their clauses.  Licences joined by
+AND or OR (in SPDX expressions, or as "the X license and the Y license") are each
+named; an exception after WITH does not change the name.
 """
 
 from __future__ import annotations
@@ -35,7 +38,8 @@ SENTENCES = {
 RULES = (
     ("Apache-2.0", "AB?"),
     ("MIT", "M(?:NW?)?|NW?"),
-    ("GPL-3.0", "G|FR|R"),
+    ("GPL-3.0", "G"),
+    ("GPL", "FR|R"),
     ("CC-BY-NC-4.0", "C"),
     ("CC-BY-4.0", "Y"),
     ("BSD", "DW?"),
@@ -71,8 +75,24 @@ _WORDS = {
     "v": r"if a copy of the mpl was not distributed with this file you can obtain one at https? (?:www )?mozilla org mpl 2 0",
     "w": r"to view a copy of this license visit https? (?:www )?creativecommons org (?:licenses|publicdomain) [a-z]+(?: [a-z]+){0,2} [1-4] [05](?: deed [a-z]+| legalcode)?(?: or send a letter to creative commons (?:[a-z0-9]+ ){1,16}?usa)?",
 }
+# Canonical wording of further licences, by the family they name.
+_MORE = {
+    "ISC": ("isc", r"permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    "0BSD": (r"(?:0bsd|bsd (?:0|zero) clause|(?:0|zero) clause bsd)", r"permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee is hereby granted"),
+    "Zlib": ("zlib", r"permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"),
+    "Unlicense": ("unlicense", r"this is free and unencumbered software released into the public domain"),
+    "BSL-1.0": (r"(?:boost software licen[sc]e|boost|bsl) ?(?:version |v ?)?1 0", r"boost software license version 1 0(?: august 17th 2003)?"),
+    "EPL-2.0": (r"(?:eclipse public licen[sc]e|epl) ?(?:version |v ?)?2 0", r"this program and the accompanying materials are made available under the terms of the eclipse public license (?:version |v ?)?2 0(?: which (?:is available|accompanies).{0,120}?)?"),
+    "EPL-1.0": (r"(?:eclipse public licen[sc]e|epl) ?(?:version |v ?)?1 0", r"this program and the accompanying materials are made available under the terms of the eclipse public license (?:version |v ?)?1 0(?: which (?:is available|accompanies).{0,120}?)?"),
+}
+_CLAUSES = {
+    "BSD-2-Clause": r"(?:bsd (?:2|two) clause|(?:2|two) clause bsd|(?:simplified |free)bsd)(?: simplified)?",
+    "BSD-3-Clause": r"(?:bsd (?:3|three) clause|(?:3|three) clause bsd|(?:new|modified|revised) bsd)(?: new| revised| modified)?",
+    "BSD-4-Clause": r"(?:bsd (?:4|four) clause|(?:4|four) clause bsd|original bsd)(?: original)?",
+}
 _CC = {"BY": "attribution", "BY-SA": "attribution share ?alike", "BY-ND": "attribution no ?deriv(?:ative)?s", "BY-NC": "attribution non ?commercial",
        "BY-NC-SA": "attribution non ?commercial share ?alike", "BY-NC-ND": "attribution non ?commercial no ?deriv(?:ative)?s"}
+_WITH = r"(?: with (?:[a-z0-9]+ ){1,6}?exception(?: [0-9]){0,3})?"
 _V = r"(?:version |v(?: |\W)?)?"
 
 
@@ -93,6 +113,8 @@ def _families() -> dict[str, tuple[str, list[str]]]:
         for v, date in versions:
             number = v.replace(".", " ") if v == "2.1" else f"{v[0]}(?: 0)?"
             out[f"{short}-{v}"] = (_gnu(kind, short.lower(), number), [_FSF.format(notice, number), rf"gnu {notice}general public license version {number} {date}"])
+        out[short] = (rf"(?:gnu )?(?:{kind}general public licen[sc]e(?: {short.lower()})?|{short.lower()}){_LATER}",
+                      [rf"you can redistribute it and or modify it under the terms of the gnu {notice.strip()} ?general public license as published by the free software foundation"])
     out["MPL-2.0"] = (rf"(?:mozilla public licen[sc]e(?: mpl)?|mpl) ?{_V}2(?: 0)?", [r"this source code form is subject to the terms of the mozilla public license v(?:ersion)? 2 0", r"mozilla public license v(?:ersion)? 2 0"])
     out["MPL-1.1"] = (rf"(?:mozilla public licen[sc]e(?: mpl)?|mpl) ?{_V}1 1", [r"the contents of this file are subject to the mozilla public license version 1 1 the license", r"mozilla public license v(?:ersion)? 1 1"])
     for kind, words in _CC.items():
@@ -101,8 +123,10 @@ def _families() -> dict[str, tuple[str, list[str]]]:
             name = rf"(?:creative commons )?{words} {v.replace('.', ' ')}(?: international| unported| generic)?(?: public)?(?: licen[sc]e)?(?: {code})?"
             out[f"CC-{kind}-{v}"] = (f"(?:{code}|{name})", [rf"creative commons {words} {v.replace('.', ' ')}(?: international| unported| generic)?(?: public)?(?: licen[sc]e)?"])
     out["CC0-1.0"] = (r"cc0(?: 1 0)?(?: universal)?", [r"(?:creative commons )?cc0 1 0 universal"])
-    clauses = r"(?:bsd (?:0|[1-4]|zero|two|three|four) clause|(?:0|[1-4]|zero|two|three|four) clause bsd|(?:new |modified |simplified |original |revised |free)?bsd)"
-    out["BSD"] = (rf"{clauses}(?: style)?(?: new| original| revised| modified| simplified)?", [rf"(?:the )?{clauses} licen[sc]e"])
+    for rule, name in _CLAUSES.items():
+        out[rule] = (name, [rf"(?:the )?{name} licen[sc]e"])
+    out["BSD"] = (r"bsd(?: style)?", [r"(?:the )?bsd licen[sc]e"])
+    out |= {rule: (name, [wording]) for rule, (name, wording) in _MORE.items()}
     return out
 
 
@@ -121,10 +145,10 @@ def _known() -> tuple[list[tuple[str, str]], tuple[tuple[str, str], ...]]:
         named[rule] = letter = chr(0x100 + at)
         whole += [(p, letter) for p in more]
         lines.append((rf"(?:{_THING}|it is )?(?:dual )?(?:licensed|released|distributed|available|published|provided|made available) under (?:the terms of )?(?:the |an? )?{name}(?: licen[sc]e)?(?: the licen[sc]e)?", letter))
-        lines.append((rf"(?:spdx )?licen[sc]e(?: identifier)? (?:the )?{name}(?: licen[sc]e)?", letter))
+        lines.append((rf"(?:spdx )?licen[sc]e(?: identifier)? (?:the )?{name}(?: licen[sc]e)?{_WITH}", letter))
     first = {
-        "Apache-2.0": "[A{}]K?J?B?E?", "MIT": "(?:M|{})(?:NO?W?Q?)?|NO?W?Q?", "GPL-3.0": "G|(?:F?{}|FR|R)(?:HV?X?)?", "CC-BY-NC-4.0": "[C{}]w?", "CC-BY-4.0": "[Y{}]w?",
-        "BSD": "dp?q?r?s?t?u?|DW?|{}",
+        "Apache-2.0": "[A{}]K?J?B?E?", "MIT": "(?:M|{})(?:NO?W?Q?)?|NO?W?Q?", "GPL-3.0": "G|F?{}(?:HV?X?)?", "GPL": "F?[R{}](?:HV?X?)?", "CC-BY-NC-4.0": "[C{}]w?", "CC-BY-4.0": "[Y{}]w?",
+        "BSD-4-Clause": "dp?q?rs?t?u?|{}", "BSD-3-Clause": "dpqst?u?|{}", "BSD-2-Clause": "dpq(?![rs])t?u?|{}", "BSD": "d(?!p?q?r)(?!pq)p?q?s?t?u?|DW?|{}",
     }
     rules = [(n, first[n].replace("{}", named[n])) for n in first]
     for n, i in named.items():
@@ -135,21 +159,25 @@ def _known() -> tuple[list[tuple[str, str]], tuple[tuple[str, str], ...]]:
 
 KNOWN, ALL_RULES = _known()
 #: Cheap test that every text with a known sentence passes.
-HINT = r"(?i)licen|permission|software|redistribut|rights|mpl|gpl|gnu|apache|mozilla|bsd|creative|attribution|x11|expat|\bcc\W*(?:by|0)|under\W+(?:(?:the|an?|terms|of)\W+){0,5}mit\b"
+HINT = r"(?i)licen|permission|software|redistribut|rights|mpl|gpl|gnu|apache|mozilla|bsd|zlib|unlicen|boost|\bbsl\b|\bepl\b|\bisc\b|creative|attribution|x11|expat|\bcc\W*(?:by|0)|under\W+(?:(?:the|an?|terms|of)\W+){0,5}mit\b"
 #: Where sentences can begin and end: . stands for closing marks and empty lines, \\n for line ends, : for colons and parentheses.
 LEAD = r"(?m)^[^a-z0-9\r\n]*(?:(?:dnl|rem|[0-9]{1,2}[.)]|[a-z][.)])[ \t]+)?"
 PLACES = (
     (LEAD, ""), (r"[.!?;]+(?:[ \t\r\n]+|$)|(?:\r\n|\r(?!\n)|\n)[\r\n]+", "\u0001"), (r"\r\n?|\n", "\u0002"), ("[:()]", "\u0003"),
     ("[^a-z0-9\u0001-\u0003]+", " "), (" ?([\u0001-\u0003]) ?", "$1"),
 )
+#: An operator of an SPDX expression, and the words between two licences named in one sentence.
+EXPRESSION = r"(?i)(SPDX-License-Identifier:|\G(?!\A))([^\r\n]*?)[ \t]+(?:AND|OR)[ \t]+"
+BOTH = r"(licensed[ \u0002]under[ \u0002](?:[a-z0-9]+[ \u0002]){1,7}?(?:licen[sc]e|[0-9]))[ \u0002](?:and|or)[ \u0002](?:(?:the[ \u0002])?(?:[a-z]+[ \u0002]){1,3}?under[ \u0002]|(?=(?:the|an?)[ \u0002]))"
 ANY = "(?<![a-z0-9 ])(?:" + "|".join(p for p, _ in KNOWN) + ")(?![a-z0-9 ])"
 
 
 def sequence(text: Column) -> Column:
     """Identifiers of the text's known sentences in order, with ``-`` where other words stand between them."""
-    plain = F.lower(F.translate(text, "\u0001\u0002\u0003", "   "))
+    plain = F.lower(F.regexp_replace(F.translate(text, "\u0001\u0002\u0003", "   "), EXPRESSION, "$1$2\n\nLicense: "))
     for pattern, mark in PLACES:
         plain = F.regexp_replace(plain, pattern, mark)
+    plain = F.regexp_replace(plain, BOTH, "$1\u0001licensed under ")
     # Every second part is a known sentence: one-line forms by value, others by their pattern.
     parts = F.split(F.regexp_replace(F.translate(F.trim(plain), "\u0001\u0002\u0003", ".\n:"), ANY, "|$0|"), "[|]", -1)
     forms = F.create_map(*(F.lit(x) for pair in SENTENCES.items() for x in pair))

@@ -19,10 +19,11 @@ def test_scan_equals_twin(spark):
     con.executemany("INSERT INTO documents VALUES (?, ?)", ROWS)
     assert got == sorted(con.execute(oracle()).fetchall(), key=str)
     names = {i: n for i, _, _, n in got}
-    assert (names[3], names[4], names[5], names[6], names[7], names[8]) == ("Apache-2.0", "MIT", "GPL-3.0", "Proprietary", "MIT,CC-BY-NC-4.0", "")
+    assert (names[3], names[4], names[5], names[6], names[7], names[8]) == ("Apache-2.0", "MIT", "GPL", "Proprietary", "MIT,CC-BY-NC-4.0", "")
     assert scan(docs.limit(0)).count() == 0
 
 
+# Licence notices word for word.
 APACHE = """/*
  * Copyright 2020 Some Name
  *
@@ -103,8 +104,22 @@ MPL = """// This Source Code Form is subject to the terms of the Mozilla Public
 // file, You can obtain one at https://mozilla.org/MPL/2.0/."""
 CC = """This work is licensed under the Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License. To view a copy
 of this license, visit http://creativecommons.org/licenses/by-nc-sa/4.0/ or send a letter to Creative Commons, PO Box 1866, Mountain View, CA 94042, USA."""
+BSD_2 = "\n".join(x for x in BSD.split("\n#\n") if "3. Neither" not in x)
+BSD_4 = BSD.replace("# 3. Neither", "# 3. All advertising materials mentioning features or use of this software must\n#    display the following acknowledgement: This product includes software\n#    developed by Some Name and its contributors.\n#\n# 4. Neither")
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies."""
+ZLIB = """Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:"""
+UNLICENSE = "This is free and unencumbered software released into the public domain."
+EPL = """/* This program and the accompanying materials are made available under
+ * the terms of the Eclipse Public License v. 2.0.
+ */"""
 NOTICES = {
-    "Apache-2.0": (APACHE, "AKJBE"), "MIT": (MIT, None), "BSD": (BSD, "Ldpqstu"), "MPL-2.0": (MPL, None), "CC-BY-NC-SA-4.0": (CC, None),
+    "BSD-2-Clause": (BSD_2, "Ldpqtu"), "BSD-4-Clause": (BSD_4, "Ldpqrstu"), "ISC": (ISC, None), "Zlib": (ZLIB, None), "Unlicense": (UNLICENSE, None), "EPL-2.0": (EPL, None),
+    "BSL-1.0": ("Boost Software License - Version 1.0 - August 17th, 2003", None), "0BSD": (ISC.split(", provided")[0] + ".", None),
+    "Apache-2.0": (APACHE, "AKJBE"), "MIT": (MIT, None), "BSD-3-Clause": (BSD, "Ldpqstu"), "MPL-2.0": (MPL, None), "CC-BY-NC-SA-4.0": (CC, None),
     "GPL-3.0": (GNU.format(thing="program", mark=":", kind="", sep=",", v="3"), None),
     "GPL-2.0": (GNU.format(thing="program", mark=";", kind="", sep=";", v="2"), None),
     "LGPL-2.1": (GNU.format(thing="library", mark=";", kind="Lesser ", sep=";", v="2.1"), None),
@@ -112,9 +127,16 @@ NOTICES = {
 }
 LINES = {
     "SPDX-License-Identifier: Apache-2.0": "Apache-2.0", "// SPDX-License-Identifier: GPL-2.0-or-later": "GPL-2.0", "License: MIT": "MIT", "The MIT License (MIT)": "MIT",
-    "BSD 3-Clause License": "BSD", "This project is licensed under the MIT License.": "MIT", "Licensed under CC BY-SA 3.0.": "CC-BY-SA-3.0", "Mozilla Public License, v. 2.0": "MPL-2.0",
+    "BSD 3-Clause License": "BSD-3-Clause", "This project is licensed under the MIT License.": "MIT", "Licensed under CC BY-SA 3.0.": "CC-BY-SA-3.0", "Mozilla Public License, v. 2.0": "MPL-2.0",
     "Creative Commons Attribution 4.0 International Public License": "CC-BY-4.0", "Released under the GNU GPLv3.": "GPL-3.0", "Available under the MIT": "MIT", "Published under CC-BY-4.0.": "CC-BY-4.0", "GNU GENERAL PUBLIC LICENSE\n   Version 2, June 1991": "GPL-2.0",
     "Words that run on\nLicensed under the Apache License,\nVersion 2.0\nand more": "Apache-2.0", "The rights of a license of mit.": "", "We are not licensed under the MIT License.": "",
+    "SPDX-License-Identifier: MIT OR Apache-2.0": "Apache-2.0,MIT", "# SPDX-License-Identifier: (MIT AND BSD-2-Clause) OR ISC": "MIT,BSD-2-Clause,ISC", "SPDX-License-Identifier: ISC": "ISC",
+    "SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0": "GPL-2.0", "Music or words\nSPDX-License-Identifier: MIT\nSalt and Apache-2.0 or more": "MIT",
+    "Licensed under the MIT license and the Apache License, Version 2.0.": "Apache-2.0,MIT",
+    "The library is licensed under the Apache License, Version 2.0 and the docs under CC BY 4.0.": "Apache-2.0,CC-BY-4.0",
+    "You can redistribute it and/or modify it under the terms of the GNU General Public License.": "GPL", "Licensed under the GNU Lesser General Public License.": "LGPL", "License: AGPL": "AGPL",
+    "Released under the zlib license.": "Zlib", "Distributed under the Boost Software License, Version 1.0.": "BSL-1.0", "License: EPL-1.0": "EPL-1.0", "Released under the Unlicense.": "Unlicense",
+    "SPDX-License-Identifier: " + "MIT OR " * 20000 + "ISC": "MIT,ISC",
     "#" * 30000 + "\n" * 30000 + "licence (" * 3000: "",
 }
 
