@@ -7,6 +7,7 @@ from fieldlink.config import Segmentation
 from fieldlink.lineage import cut
 from fieldlink.operators import raster
 from fieldlink.queries.base import cte, query, r, rounded
+from fieldlink.sources import segmentation as stored_segmentation
 
 SEG = fx.SMALL.segmentation
 
@@ -185,3 +186,37 @@ def corridor_profile(spark, sf):
         F.count("*").alias("n"), F.avg("snr").alias("mean_snr"), F.max("snr").alias("max_snr"),
         F.count_if(F.col("snr") >= 2).alias("n_weak"),
     ), 4)
+
+
+def stored_with_faults(spark, sf):
+    """Stored tables with one kind of fault per field, by its name."""
+    fields = fx.fields(spark, sf)
+    s = cut(snr(spark, sf))
+    found, removed = raster.segment(s, fields, SEG)
+    made = stored_segmentation.collected(s, found, removed, fields, SEG)
+    kind = F.pmod(F.ascii("field_id") + F.length("field_id"), F.lit(4))
+    lost = made.snr.filter(~((kind == 0) & (F.col("y") == 0))).withColumn("x", F.when((kind == 1) & (F.col("x") == 31), F.col("x") + 9).otherwise(F.col("x")).cast("int"))
+    twice = F.when((kind == 1) & (F.col("threshold") == 5.0), 2).otherwise(1)
+    levels = made.thresholds.withColumn("_k", F.explode(F.sequence(F.lit(1), twice))).drop("_k")
+    levels = levels.withColumn("n_labels", F.col("n_labels") + F.when((kind == 3) & (F.col("threshold") == 3.0), 1).otherwise(0))
+    levels = levels.withColumn("threshold", F.when((kind == 2) & (F.col("threshold") == 2.0), -1.0).otherwise(F.col("threshold")))
+    moved = made.labels.withColumn("y", F.when((kind == 3) & (F.col("y") == 29), F.col("y") + 30).otherwise(F.col("y")).cast("int"))
+    return stored_segmentation.Stored(lost, moved, levels), fields
+
+
+cte("field_kinds", "SELECT field_id, (ascii(field_id) + length(field_id)) % 4 AS kind FROM fields", "fields")
+cte("region_counts", "SELECT field_id, threshold, count(DISTINCT label) AS n FROM labels GROUP BY 1, 2", "labels")
+
+
+@query("segmentation_table_issues", """
+SELECT field_id, issue, n FROM (
+ SELECT field_id, 'snr_pixels_missing' AS issue, CAST(CASE kind WHEN 0 THEN 32 ELSE 30 END AS BIGINT) AS n FROM field_kinds WHERE kind < 2
+ UNION ALL SELECT field_id, 'snr_pixels_outside', 30 FROM field_kinds WHERE kind = 1
+ UNION ALL SELECT field_id, 'thresholds_repeated', 1 FROM field_kinds WHERE kind = 1
+ UNION ALL SELECT field_id, 'thresholds_not_positive', 1 FROM field_kinds WHERE kind = 2
+ UNION ALL SELECT field_id, 'labels_without_threshold', count(*) FROM field_kinds JOIN labels USING (field_id) WHERE kind = 2 AND threshold = 2 GROUP BY 1
+ UNION ALL SELECT field_id, 'label_counts_differ', 1 FROM field_kinds JOIN region_counts USING (field_id) WHERE kind = 2 AND threshold = 2
+ UNION ALL SELECT field_id, 'label_counts_differ', 1 FROM field_kinds WHERE kind = 3
+ UNION ALL SELECT field_id, 'label_pixels_outside', count(*) FROM field_kinds JOIN labels USING (field_id) WHERE kind = 3 AND y = 29 GROUP BY 1)""", ("field_kinds", "labels", "region_counts"))
+def segmentation_table_issues(spark, sf):
+    return stored_segmentation.issues(*stored_with_faults(spark, sf))
