@@ -79,6 +79,12 @@ def status_record(fields: DataFrame, status: str) -> DataFrame:
     return fields.select("field_id", F.lit(status).alias("status"), now.alias("time_end"))
 
 
+def start_status(spark: SparkSession, fields_path: str, path: str) -> None:
+    """An empty status table for the fields of a table, unless there is one."""
+    none = spark.read.parquet(fields_path).select("field_id").limit(0)
+    status_record(none, "done").write.mode("ignore").parquet(path)
+
+
 def failure_summary(status: DataFrame) -> DataFrame:
     """Number of unfinished fields and the first ten of them."""
     from fieldlink.operators.ranking import top_k

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from fieldlink.config import Config
+from fieldlink.lineage import cut
 from fieldlink.operators.measure import publish_groups
 from fieldlink.plans.stage1 import associate
 from fieldlink.sources import tables
@@ -16,14 +17,18 @@ def ingest_fields(spark: SparkSession, components_path: str, pixels_path: str, f
     """Follow a folder of field rows; run Stage 1 for every batch of new fields.
 
     The stream carries one row per field.  Its pixels and components are read
-    from their tables by field, so a batch costs what its fields cost.  Output
-    partitions are replaced per field, which makes a repeated batch harmless.
+    from their tables by field, so a batch costs what its fields cost.  The stream
+    keeps no state: fields that the status table lists as done are left out, so a
+    field that arrives again, or a batch that is repeated after its status was
+    written, does nothing.  A batch that fails before replaces its own output partitions.
     """
+    tables.start_status(spark, fields_path, f"{out}/status")
     schema = spark.read.parquet(fields_path).schema
-    arriving = spark.readStream.schema(schema).parquet(fields_path).dropDuplicates(["field_id"])
+    arriving = spark.readStream.schema(schema).parquet(fields_path)
 
     def run(batch: DataFrame, epoch: int) -> None:
-        new = batch.persist()
+        done = batch.sparkSession.read.parquet(f"{out}/status")
+        new = cut(tables.pending_fields(batch.dropDuplicates(["field_id"]), done))
         if not new.isEmpty():
             mine = new.select("field_id")
             comps = batch.sparkSession.read.parquet(components_path).join(mine, "field_id", "left_semi").dropDuplicates(["component_id", "field_id"])
@@ -33,7 +38,6 @@ def ingest_fields(spark: SparkSession, components_path: str, pixels_path: str, f
             tables.write_fields(tables.flat(found.edges), f"{out}/edges")
             tables.write_fields(found.components.select("field_id", "component_index", "component_id", "gid"), f"{out}/members")
             tables.append(tables.status_record(mine, "done"), f"{out}/status")
-        new.unpersist()
 
     writer = arriving.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

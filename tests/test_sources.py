@@ -75,8 +75,13 @@ def test_streaming_equals_batch(spark, tmp_path):
     for n, df in (("components", comps), ("pixels", pixels), ("fields", field)):
         df.write.parquet(where[n])
     cfg = replace(Config(), sanity=replace(Config().sanity, enabled=False))
-    for _ in range(2):  # the second start finds nothing new
-        ingest_fields(spark, where["components"], where["pixels"], where["fields"], where["out"], where["checkpoint"], cfg).awaitTermination()
+    run = lambda at: ingest_fields(spark, where["components"], where["pixels"], where["fields"], where["out"], at, cfg).awaitTermination()
+    run(where["checkpoint"])
+    run(where["checkpoint"])  # finds nothing new
+    field.union(field).write.mode("append").parquet(where["fields"])
+    run(where["checkpoint"])  # the same field once more
+    run(where["checkpoint"] + "2")  # and every batch from the start
+    assert not (tmp_path / "checkpoint" / "state").exists()
     groups = spark.read.parquet(where["out"] + "/groups").collect()
     want = associate(comps, pixels, field, cfg).groups.first()
     assert [(g.association_group_id, g.n_gaussians) for g in groups] == [("c0_a000", 3)]
