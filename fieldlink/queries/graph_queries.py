@@ -14,14 +14,14 @@ FROM components a JOIN components b ON a.field_id = b.field_id AND a.component_i
 WHERE (b.x-a.x)*(b.x-a.x) + (b.y-a.y)*(b.y-a.y) <= 8100""", "components")
 
 
-def walk_sql(capacity: int) -> str:
-    """One pair of every field after the other, with the list of taken ends so far."""
+def walk_sql(name: str, source: str, capacity: int) -> str:
+    """One pair of every field after the other, with the list of taken ends so far; ``source`` has field_id, i, j and the place k."""
     free = lambda end: f"len(list_filter(used, lambda u: u = p.{end})) < {capacity}"
     return f"""
-SELECT DISTINCT field_id, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS used, CAST(false AS BOOLEAN) AS took FROM near_pairs
+SELECT DISTINCT field_id, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS used, CAST(false AS BOOLEAN) AS took FROM {source}
 UNION ALL
 SELECT w.field_id, p.k, CASE WHEN {free('i')} AND {free('j')} THEN list_concat(used, [p.i, p.j]) ELSE used END, {free('i')} AND {free('j')}
-FROM matched_{capacity} w JOIN near_pairs p ON p.field_id = w.field_id AND p.k = w.k + 1"""
+FROM {name} w JOIN {source} p ON p.field_id = w.field_id AND p.k = w.k + 1"""
 
 
 def matched(spark, sf, capacity: int):
@@ -34,7 +34,7 @@ def matched(spark, sf, capacity: int):
 
 
 for _capacity, _name in ((1, "exclusive_matching"), (2, "capped_matching")):
-    cte(f"matched_{_capacity}", walk_sql(_capacity), "near_pairs")
+    cte(f"matched_{_capacity}", walk_sql(f"matched_{_capacity}", "near_pairs", _capacity), "near_pairs")
     query(_name, f"""
 SELECT field_id, i AS component_index_1, j AS component_index_2 FROM matched_{_capacity} JOIN near_pairs USING (field_id, k) WHERE took""",
           (f"matched_{_capacity}", "near_pairs"))(lambda spark, sf, capacity=_capacity: matched(spark, sf, capacity))

@@ -9,6 +9,7 @@ from fieldlink.lineage import cut
 from fieldlink.operators import diagnostics, display, hosts as host_ops, parents, seeds
 from fieldlink.queries.base import cte, query, r, rounded, shared
 from fieldlink.queries.catalog_queries import SEP
+from fieldlink.queries.graph_queries import walk_sql
 
 CFG = Config()
 PAIR = seeds.PAIR
@@ -128,16 +129,48 @@ def parent_seed_pairs(spark, sf):
                                  "midpoint_symmetry_score", "support_evidence_count", "parent_score", "parent_candidate_quality", "rejection_reason"), 4)
 
 
-@query("parent_seed_candidates")
+cte("pjudged", """
+SELECT *, CASE WHEN bar <> '' THEN 'rejected' WHEN gb <= 5 AND score >= 4 THEN 'high' WHEN score >= 3.2 THEN 'medium' WHEN score >= 2.5 THEN 'low' ELSE 'rejected' END AS quality
+FROM (SELECT *, row_number() OVER (PARTITION BY field_id ORDER BY i, j) - 1 AS nr, CASE WHEN bothcompact THEN 'compact_singleton_pair' WHEN NOT bothseed THEN 'endpoint_not_parent_seed' WHEN gb > 10 THEN 'robust_box_gap_too_large'
+  WHEN support < CASE WHEN gb <= 5 THEN 2 ELSE 3 END THEN 'insufficient_evidence_for_parent_link' ELSE '' END AS bar FROM ppairs)""", "ppairs")
+cte("pdefault", """
+SELECT field_id, i, j, row_number() OVER (PARTITION BY field_id ORDER BY score DESC, gb, i, j) AS k FROM pjudged WHERE quality IN ('high', 'medium')""", "pjudged")
+cte("pwalk", walk_sql("pwalk", "pdefault", 1), "pdefault")
+# One pair per group, then ten per field.
+cte("plimited", """
+SELECT p.*, coalesce(w.took, false) AS by_group, coalesce(w.place <= 10, false) AS chosen, CASE WHEN quality IN ('high', 'medium') AND NOT coalesce(w.place <= 10, false) THEN 'low' ELSE quality END AS final
+FROM pjudged p LEFT JOIN (SELECT d.field_id, d.i, d.j, took, row_number() OVER (PARTITION BY d.field_id ORDER BY k) AS place FROM pwalk JOIN pdefault d USING (field_id, k) WHERE took) w USING (field_id, i, j)""",
+    "pjudged", "pdefault", "pwalk")
+
+
+@shared
+def seed_run(spark, sf):
+    table, pairs = seeds.run_seeds(groups(spark, sf), CFG)
+    return table, cut(pairs)
+
+
+@query("parent_seed_candidates", f"""
+SELECT field_id, i AS group_index_1, j AS group_index_2, printf('%s_seed_pc%03d', CAST(field_id AS VARCHAR), nr) AS parent_candidate_id, {r('score', 'parent_score', 4)}, final AS parent_candidate_quality
+FROM plimited WHERE chosen""", ("plimited",))
 def parent_seed_candidates(spark, sf):
-    _, pairs = seeds.run_seeds(groups(spark, sf), CFG)
-    return pairs.filter("is_default_candidate").select(*PAIR, "parent_candidate_id", "parent_score", "parent_candidate_quality")
+    _, pairs = seed_run(spark, sf)
+    return rounded(pairs.filter("is_default_candidate").select(*PAIR, "parent_candidate_id", "parent_score", "parent_candidate_quality"), 4)
+
 
+REASONS = ("compact_singleton_pair", "endpoint_not_parent_seed", "robust_box_gap_too_large", "insufficient_evidence_for_parent_link")
 
-@query("parent_seed_diagnostics")
+
+@query("parent_seed_diagnostics", f"""
+SELECT field_id, n_local_groups, n_parent_seed_groups, n_missing_peak_snr, n_missing_area_3sigma_beam, 0 AS n_missing_robust_bbox,
+ {", ".join(f"coalesce({c}, 0) AS {c}" for c in ("n_parent_pairs_considered", "n_parent_candidates", "n_parent_high", "n_parent_medium", "n_parent_low_debug", "n_rejected", *[f"n_rejected_{x}" for x in REASONS], "n_candidates_before_cutout_limit"))},
+ {r("coalesce(widest, 0)", "max_candidate_box_gap_beam_robust", 4)}, coalesce(n_candidates_before_cutout_limit, 0) > 10 AS parent_candidate_overflow_flag, 10 AS max_parent_candidates_per_cutout, 1 AS max_parent_candidates_per_group
+FROM (SELECT field_id, count(*) AS n_local_groups, count_if(seed) AS n_parent_seed_groups, count_if(snr IS NULL) AS n_missing_peak_snr, count_if(area3 IS NULL) AS n_missing_area_3sigma_beam FROM pseeds GROUP BY field_id)
+LEFT JOIN (SELECT field_id, count(*) AS n_parent_pairs_considered, count_if(chosen) AS n_parent_candidates, count_if(chosen AND final = 'high') AS n_parent_high, count_if(chosen AND final = 'medium') AS n_parent_medium,
+  count_if(final = 'low') AS n_parent_low_debug, count_if(final = 'rejected') AS n_rejected, {", ".join(f"count_if(bar = '{x}') AS n_rejected_{x}" for x in REASONS)}, count_if(by_group) AS n_candidates_before_cutout_limit,
+  max(CASE WHEN chosen THEN gb END) AS widest FROM plimited GROUP BY field_id) USING (field_id)""", ("pseeds", "plimited"))
 def parent_seed_diagnostics(spark, sf):
-    table, pairs = seeds.run_seeds(groups(spark, sf), CFG)
-    return seeds.seed_diagnostics(table, pairs, CFG)
+    table, pairs = seed_run(spark, sf)
+    return rounded(seeds.seed_diagnostics(table, pairs, CFG), 4)
 
 
 cte("penv", """
