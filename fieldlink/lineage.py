@@ -34,7 +34,7 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/fieldlink-{uuid.uuid4().hex}"
     df.write.mode("error").parquet(path)
-    system, target = _at(spark, path)
+    system, target = location(spark, path)
     system.deleteOnExit(target)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
@@ -43,10 +43,11 @@ def cut(df: DataFrame) -> DataFrame:
 
 def drop(df: DataFrame) -> None:
     """Delete a table that :func:`cut` wrote, once nothing reads it any more."""
-    system, target = _at(df.sparkSession, df._written_at)
+    system, target = location(df.sparkSession, df._written_at)
     system.delete(target, True)
 
 
-def _at(spark: SparkSession, path: str):
+def location(spark: SparkSession, path: str):
+    """The Hadoop file system and path object of a path."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target

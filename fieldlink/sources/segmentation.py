@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from fieldlink.config import Segmentation
 from fieldlink.functions import geometry as g
 from fieldlink.operators.raster import segmentation_diagnostics
-from fieldlink.sources.tables import write_fields
+from fieldlink.sources.tables import read_fields, write_fields
 
 TABLES = ("snr", "labels", "thresholds")
 
@@ -42,7 +42,7 @@ def save(stored: Stored, fields: DataFrame, path: str) -> None:
 def load(spark: SparkSession, path: str, fields: DataFrame, strict: bool = True) -> Stored:
     """Stored tables of the given fields; an error names fields with issues unless ``strict`` is off."""
     kind = fields.schema["field_id"].dataType
-    read = [spark.read.parquet(f"{path}/{name}").withColumn("field_id", F.col("field_id").cast(kind)) for name in TABLES]
+    read = [read_fields(spark, f"{path}/{name}", kind) for name in TABLES]
     if "n_small_objects_removed" not in read[2].columns:
         read[2] = read[2].withColumn("n_small_objects_removed", F.lit(0).cast("long"))
     stored = Stored(*[t.join(fields.select("field_id"), "field_id", "left_semi") for t in read])

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
-from pyspark.sql.types import ArrayType, MapType, StructType
+from pyspark.sql.types import ArrayType, DataType, MapType, StructField, StructType
+
+from fieldlink.lineage import location
 
 OUTPUTS = ("merged_sources", "edges", "components", "groups", "association_edges", "association_components")
 
@@ -31,8 +33,20 @@ def project(df: DataFrame, schema: StructType) -> DataFrame:
 
 
 def write_fields(df: DataFrame, path: str) -> None:
-    """Replace only the partitions of the fields at hand."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("field_id").parquet(path)
+    """Replace only the partitions of the fields at hand.
+
+    Rows are balanced by field first: a small field becomes one file, a large one
+    several.  The schema is kept beside the table, since one without rows has no file.
+    """
+    df.limit(0).write.mode("ignore").parquet(f"{path}_schema")
+    df.hint("rebalance", F.col("field_id")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("field_id").parquet(path)
+
+
+def read_fields(spark: SparkSession, path: str, kind: DataType) -> DataFrame:
+    """A table of :func:`write_fields`; ``kind`` is the type of field_id, which folder names do not tell ("007")."""
+    system, kept = location(spark, f"{path}_schema")
+    schema = spark.read.parquet(f"{path}_schema" if system.exists(kept) else path).schema
+    return spark.read.schema(StructType([StructField("field_id", kind) if f.name == "field_id" else f for f in schema])).parquet(path)
 
 
 def append(df: DataFrame, path: str) -> None:
