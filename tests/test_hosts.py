@@ -83,3 +83,31 @@ def test_log_counts_every_hit_of_the_first_catalogue(spark):
     assert got == [(1, "catwise2020", 41), (2, "allwise", 0), (2, "catwise2020", 0)]
     empty = host_ops.query_log(places, host_ops.cone_hits(places, hosts.limit(0), CFG), CFG)
     assert empty.count() == 4
+
+
+def test_raster_hosts_keep_every_listed_row(spark):
+    """Of many customers at one place only those a lookup can list meet the fields, with the same ranked hosts."""
+    from fieldlink import fixtures as fx
+    from fieldlink.queries import all_queries
+
+    all_queries()
+    from fieldlink.queries.parent_queries import HOST_PLACES, raster_hosts
+
+    customers = spark.range(HOST_PLACES * 50).select(F.col("id").alias("c_custkey"), (F.pmod(F.col("id") * 7919 + F.col("id") % 7 * 13, F.lit(9000)).cast("double")).alias("c_acctbal"))
+    fields = spark.createDataFrame([("view_0", 150.0, 2.0)], "field_id string, ra0 double, dec0 double")
+    whole = raster_hosts(fields, customers, replace(fx.SMALL, hosts=replace(fx.SMALL.hosts, max_rows_per_lookup=10**6)))
+    few = raster_hosts(fields, customers, fx.SMALL)
+    assert whole.count() == HOST_PLACES * 10 and few.count() <= 2 * HOST_PLACES // 5 * fx.SMALL.hosts.max_rows_per_lookup
+    at = "field_id string, group_index_1 int, group_index_2 int, role string, q_ra double, q_dec double, q_radius double, ra1 double, dec1 double, ra2 double, dec2 double"
+    rows = [("view_0", i, i + 1, role, 150.0 + i / 3600, 2.0 - i / 7200, 10.0, 149.999, 2.0, 150.001 + i / 3600, 2.0) for i in range(4) for role in ("midpoint", "lobe1_peak")]
+    places = spark.createDataFrame(rows, at)
+
+    def answers(hosts):
+        hits = host_ops.cone_hits(places, hosts, fx.SMALL)
+        mid = host_ops.ranked(host_ops.score_midpoint(hits.filter("role = 'midpoint'"), fx.SMALL), fx.SMALL)
+        lobe = host_ops.ranked(host_ops.score_lobe_peaks(hits.filter("role != 'midpoint'"), fx.SMALL), fx.SMALL)
+        keep = ["group_index_1", "role", "host_rank", "host_id", "host_score", "host_quality"]
+        return sorted(map(tuple, mid.select(*keep).unionByName(lobe.select(*keep)).collect()))
+
+    found = answers(whole)
+    assert len(found) == 8 * fx.SMALL.hosts.max_rows_per_lookup and answers(few) == found
