@@ -111,3 +111,18 @@ def test_raster_hosts_keep_every_listed_row(spark):
 
     found = answers(whole)
     assert len(found) == 8 * fx.SMALL.hosts.max_rows_per_lookup and answers(few) == found
+
+
+def test_equal_places_on_other_turns_of_the_sky_are_ties(spark):
+    """A host exactly on the radius is found, and hosts at one place of the sky come by their id."""
+    at = "field_id int, group_index_1 int, group_index_2 int, role string, q_ra double, q_dec double, q_radius double"
+    places = spark.createDataFrame([(0, 0, d, "midpoint", 150.0, 2.0 + d / 3600, 10.0) for d in range(60)], at)
+    hosts = spark.createDataFrame(
+        [(100 * d + n, 150.0 + 360.0 * turn + off / 3600, 2.0 + d / 3600 + dec / 3600, "allwise") for d in range(60) for n, turn, off, dec in ((3, 0, 0, 10), (2, 1, 3, 0), (1, 4, 3, 0), (0, 2, 3, 0))],
+        "host_id int, host_ra double, host_dec double, catalogue string").withColumn("field_id", F.lit(0))
+    near = replace(CFG, hosts=replace(CFG.hosts, max_rows_per_lookup=1000))
+    hits = host_ops.cone_hits(places, hosts, near)
+    own = hits.filter("floor(host_id / 100) = group_index_2")
+    assert own.groupBy("group_index_2").count().filter("count = 4").count() == 60
+    first = host_ops.first_catalogue(own, host_ops.nearest(), near).select("group_index_2", "host_rank", F.pmod("host_id", F.lit(100)).alias("n")).collect()
+    assert all(r.n == r.host_rank - 1 for r in first)
