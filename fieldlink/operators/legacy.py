@@ -91,9 +91,10 @@ def strongest_evidence(inner: DataFrame, score: str = "merge_score") -> DataFram
     else:
         kinds = dict(inner.dtypes)
         text = tags([(F.col(c) if kinds[c] == "boolean" else F.col(c) > 0.5, c) for c in STAGE1_EVIDENCE])
-    best = F.struct(F.col(score).alias("s"), (-F.col("component_index_1")).alias("i"), (-F.col("component_index_2")).alias("j"), text.alias("t"))
-    return inner.groupBy(*GROUP).agg(F.avg(score).alias("merge_score_mean"), F.max(best).alias("_b")).select(
-        *GROUP, "merge_score_mean", F.col("_b.s").alias("merge_score_max"), F.col("_b.t").alias("strongest_merge_evidence")
+    # Scores equal to nine places are ties; their last bits depend on the order of the sum.
+    best = F.struct(F.round(score, 9).alias("r"), (-F.col("component_index_1")).alias("i"), (-F.col("component_index_2")).alias("j"), text.alias("t"))
+    return inner.groupBy(*GROUP).agg(F.avg(score).alias("merge_score_mean"), F.max(score).alias("merge_score_max"), F.max(best).alias("_b")).select(
+        *GROUP, "merge_score_mean", "merge_score_max", F.col("_b.t").alias("strongest_merge_evidence")
     )
 
 

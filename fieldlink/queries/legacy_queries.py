@@ -6,7 +6,7 @@ from fieldlink import fixtures as fx
 from fieldlink.lineage import cut
 from fieldlink.operators import diagnostics, display, legacy
 from fieldlink.operators.cluster import inner_edges
-from fieldlink.queries.base import cte, query, r, rounded, shared
+from fieldlink.queries.base import cte, query, r, rounded, settled, settled_sql, shared
 from fieldlink.queries.edge_queries import placed_components
 from fieldlink.queries.group_queries import small_groups, support_ctes
 
@@ -66,49 +66,50 @@ def merge_clusters(spark, sf):
 
 
 @query("merged_sources", f"""
-SELECT s.field_id, g.merged_source_id, CAST(s.n AS BIGINT) AS n_components, i.island_ids, {r('s.total_flux', 'total_flux_gaussian', 4)}, {r('p2', 'pixel_sum_2sigma', 4)}, {r('p25', 'pixel_sum_2p5sigma', 4)},
- {r('s.las', 'LAS_pixel', 4)}, {r('CASE WHEN mask_n >= 3 THEN major END', 'second_moment_major', 4)}, {r('coalesce(e.sm, 0)', 'merge_score_mean', 4)}, coalesce(e.ev, '') AS strongest_merge_evidence,
+SELECT s.field_id, g.merged_source_id, CAST(s.n AS BIGINT) AS n_components, i.island_ids, {settled_sql('s.total_flux', 'total_flux_gaussian', 4)}, {settled_sql('p2', 'pixel_sum_2sigma', 4)}, {settled_sql('p25', 'pixel_sum_2p5sigma', 4)},
+ {settled_sql('s.las', 'LAS_pixel', 4)}, {settled_sql('CASE WHEN mask_n >= 3 THEN major END', 'second_moment_major', 4)}, {settled_sql('coalesce(e.sm, 0)', 'merge_score_mean', 4)}, coalesce(e.ev, '') AS strongest_merge_evidence,
  s.n >= 2 AS multi_peak_flag, s.n >= 2 AND f0/f1 > 0.1 AND s.las > 5 AS double_lobe_candidate_flag, s.n >= 3 AND least(p1 - p0, 180 - (p1 - p0)) >= 35 AS bent_flag,
- {r("least(1, greatest(0, least(1, 0.2 + 0.15*s.n + 0.15*coalesce(e.sm, 0))) + CASE WHEN s.n >= 2 AND f0/f1 > 0.1 AND s.las > 5 THEN 0.1 ELSE 0 END)", 'merge_confidence', 4)}
+ {settled_sql("least(1, greatest(0, least(1, 0.2 + 0.15*s.n + 0.15*coalesce(e.sm, 0))) + CASE WHEN s.n >= 2 AND f0/f1 > 0.1 AND s.las > 5 THEN 0.1 ELSE 0 END)", 'merge_confidence', 4)}
 FROM m_shape s JOIN m_groups g USING (field_id, gid)
 JOIN (SELECT field_id, gid, string_agg(DISTINCT CAST(island_id AS VARCHAR), ',' ORDER BY CAST(island_id AS VARCHAR)) AS island_ids, min(total_flux) AS f0, max(total_flux) AS f1, min(pa) AS p0, max(pa) AS p1 FROM m_placed GROUP BY 1, 2) i USING (field_id, gid)
 LEFT JOIN (SELECT t.field_id, t.gid, sum(p.value) FILTER (t.threshold = 2) AS p2, sum(p.value) FILTER (t.threshold = 2.5) AS p25 FROM m_touch t JOIN labels l ON l.field_id = t.field_id AND l.threshold = t.threshold AND l.label = t.label
   JOIN pixels p ON p.field_id = l.field_id AND p.y = l.y AND p.x = l.x GROUP BY 1, 2) x USING (field_id, gid)
-LEFT JOIN (SELECT e.field_id, a.gid, avg(score) AS sm, arg_max(positive, score) AS ev FROM m_edges e JOIN m_members a ON a.field_id = e.field_id AND a.component_index = e.i WHERE decision GROUP BY 1, 2) e USING (field_id, gid)""",
+LEFT JOIN (SELECT e.field_id, a.gid, avg(score) AS sm, first(positive ORDER BY round(score, 9) DESC, e.i, e.j) AS ev FROM m_edges e JOIN m_members a ON a.field_id = e.field_id AND a.component_index = e.i WHERE decision GROUP BY 1, 2) e USING (field_id, gid)""",
        ("m_shape", "m_groups", "m_placed", "m_touch", "m_edges", "labels", "pixels"))
 def merged_sources(spark, sf):
     comps, labels, edges, members, numbered = merged(spark, sf)
     placed = cut(comps.join(members.select("field_id", "component_index", "gid"), ["field_id", "component_index"]))
     inner = inner_edges(edges.withColumnRenamed("merge_decision", "association_decision"), members.select("field_id", "component_index", "gid"))
     out = legacy.measure_sources(placed, numbered, inner, labels, fx.pixels(spark, sf), fx.fields(spark, sf), fx.SMALL)
-    return rounded(out.select("field_id", "merged_source_id", "n_components", "island_ids", "total_flux_gaussian", "pixel_sum_2sigma", "pixel_sum_2p5sigma", "LAS_pixel", "second_moment_major",
+    return rounded(settled(out).select("field_id", "merged_source_id", "n_components", "island_ids", "total_flux_gaussian", "pixel_sum_2sigma", "pixel_sum_2p5sigma", "LAS_pixel", "second_moment_major",
                               "merge_score_mean", "strongest_merge_evidence", "multi_peak_flag", "bent_flag", "double_lobe_candidate_flag", "merge_confidence"), 4)
 
 
 @query("edge_diagnostics", f"""
-SELECT c.field_id, c.n AS n_nodes, e.np AS n_candidate_pairs, e.nm AS n_edges_merged, {r('smin', 'merge_score_min', 4)}, {r('smed', 'merge_score_median', 4)}, {r('smax', 'merge_score_max', 4)}, e.c3 AS connected_at_3sigma_count,
- e.c25 AS connected_at_2p5sigma_count, e.c2 AS connected_at_2sigma_count, e.o2 AS only_2sigma_connected_count, {r('dmed', 'median_distance_arcsec', 4)}, {r('dmax', 'max_distance_arcsec', 4)}, g.mx AS max_merged_component_size,
- concat_ws(';', CASE WHEN nm > 0 AND o2/np > 0.5 THEN 'many_only_2sigma_pairs' END, CASE WHEN g.mx > 20 THEN 'large_connected_component' END) AS warning
+SELECT c.field_id, c.n AS n_nodes, coalesce(e.np, 0) AS n_candidate_pairs, coalesce(e.nm, 0) AS n_edges_merged, {settled_sql('smin', 'merge_score_min', 4)}, {settled_sql('smed', 'merge_score_median', 4)}, {settled_sql('smax', 'merge_score_max', 4)}, coalesce(e.c3, 0) AS connected_at_3sigma_count,
+ coalesce(e.c25, 0) AS connected_at_2p5sigma_count, coalesce(e.c2, 0) AS connected_at_2sigma_count, coalesce(e.o2, 0) AS only_2sigma_connected_count, {settled_sql('dmed', 'median_distance_arcsec', 4)}, {settled_sql('dmax', 'max_distance_arcsec', 4)}, g.mx AS max_merged_component_size,
+ CASE WHEN e.np IS NULL THEN 'no_candidate_pairs' ELSE concat_ws(';', CASE WHEN nm > 0 AND o2/np > 0.5 THEN 'many_only_2sigma_pairs' END, CASE WHEN g.mx > 20 THEN 'large_connected_component' END) END AS warning
 FROM (SELECT field_id, count(*) AS n FROM placed GROUP BY 1) c
-JOIN (SELECT field_id, count(*) AS np, count(*) FILTER (decision) AS nm, min(score) AS smin, median(score) AS smed, max(score) AS smax, count(*) FILTER (con3) AS c3, count(*) FILTER (con25) AS c25, count(*) FILTER (con2) AS c2,
+LEFT JOIN (SELECT field_id, count(*) AS np, count(*) FILTER (decision) AS nm, min(score) AS smin, median(score) AS smed, max(score) AS smax, count(*) FILTER (con3) AS c3, count(*) FILTER (con25) AS c25, count(*) FILTER (con2) AS c2,
   count(*) FILTER (con2 AND NOT con25 AND NOT con3) AS o2, median(len) AS dmed, max(len) AS dmax FROM m_edges GROUP BY 1) e USING (field_id)
 JOIN (SELECT field_id, max(n) AS mx FROM m_groups GROUP BY 1) g USING (field_id)""", ("placed", "m_edges", "m_groups"))
 def edge_diagnostics(spark, sf):
     comps, _, edges, members, _ = merged(spark, sf)
-    return rounded(diagnostics.edge_diagnostics(comps, edges, members), 4)
+    return rounded(settled(diagnostics.edge_diagnostics(comps, edges, members)), 4)
 
 
 @query("association_diagnostics", f"""
-SELECT c.field_id, c.n AS n_nodes, c.u AS n_unresolved, c.m AS n_marginally_resolved, c.rs AS n_resolved, CAST(0 AS BIGINT) AS n_artifact_like, e.np AS n_candidate_pairs, e.ns AS n_strong_edges, e.nw AS n_weak_edges, e.nr AS n_rejected_edges,
- e.nd AS n_decision_edges, e.no AS n_only_2sigma_edges, e.nv AS n_unresolved_pair_veto, {r('smin', 'association_score_min', 4)}, {r('smax', 'association_score_max', 4)}, {r('smed', 'association_score_median', 4)}, g.ng AS n_association_groups, g.mx AS max_group_size,
- concat_ws(';', CASE WHEN no > greatest(1, floor(0.5*greatest(nd, 1))) THEN 'many_only_2sigma_associations' END, CASE WHEN g.mx > 20 THEN 'large_association_group' END) AS warning
+SELECT c.field_id, c.n AS n_nodes, CASE WHEN e.np IS NULL THEN 0 ELSE c.u END AS n_unresolved, CASE WHEN e.np IS NULL THEN 0 ELSE c.m END AS n_marginally_resolved, CASE WHEN e.np IS NULL THEN 0 ELSE c.rs END AS n_resolved, CAST(0 AS BIGINT) AS n_artifact_like,
+ coalesce(e.np, 0) AS n_candidate_pairs, coalesce(e.ns, 0) AS n_strong_edges, coalesce(e.nw, 0) AS n_weak_edges, coalesce(e.nr, 0) AS n_rejected_edges,
+ coalesce(e.nd, 0) AS n_decision_edges, coalesce(e.no, 0) AS n_only_2sigma_edges, coalesce(e.nv, 0) AS n_unresolved_pair_veto, {settled_sql('smin', 'association_score_min', 4)}, {settled_sql('smax', 'association_score_max', 4)}, {settled_sql('smed', 'association_score_median', 4)}, g.ng AS n_association_groups, g.mx AS max_group_size,
+ CASE WHEN e.np IS NULL THEN 'no_candidate_pairs' ELSE concat_ws(';', CASE WHEN no > greatest(1, floor(0.5*greatest(nd, 1))) THEN 'many_only_2sigma_associations' END, CASE WHEN g.mx > 20 THEN 'large_association_group' END) END AS warning
 FROM (SELECT field_id, count(*) AS n, count(*) FILTER (morphology_class = 'unresolved') AS u, count(*) FILTER (morphology_class = 'marginally_resolved') AS m, count(*) FILTER (morphology_class = 'resolved') AS rs FROM placed GROUP BY 1) c
-JOIN (SELECT field_id, count(*) AS np, count(*) FILTER (edge_type = 'strong') AS ns, count(*) FILTER (edge_type = 'weak') AS nw, count(*) FILTER (edge_type = 'rejected') AS nr, count(*) FILTER (decision) AS nd,
+LEFT JOIN (SELECT field_id, count(*) AS np, count(*) FILTER (edge_type = 'strong') AS ns, count(*) FILTER (edge_type = 'weak') AS nw, count(*) FILTER (edge_type = 'rejected') AS nr, count(*) FILTER (decision) AS nd,
   count(*) FILTER (decision AND only2) AS no, count(*) FILTER (veto) AS nv, min(score) AS smin, max(score) AS smax, median(score) AS smed FROM s_final GROUP BY 1) e USING (field_id)
 JOIN (SELECT field_id, count(*) AS ng, max(n) AS mx FROM s_groups GROUP BY 1) g USING (field_id)""", ("placed", "s_final", "s_groups"))
 def association_diagnostics(spark, sf):
     members, edges, groups, *_ = small_groups(spark, sf)
-    return rounded(diagnostics.association_diagnostics(members, groups, edges), 4)
+    return rounded(settled(diagnostics.association_diagnostics(members, groups, edges)), 4)
 
 
 SHOWN = "(SELECT *, las AS size FROM s_judged)"
