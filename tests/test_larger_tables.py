@@ -30,3 +30,9 @@ def test_small_tiles_and_shared_tiles_give_the_same_evidence(spark, monkeypatch)
     plan = cut_up._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapCoGroupsInArrow" in plan
     assert cut_up.orderBy(*evidence.PAIR).collect() == whole
+
+
+def test_corridors_are_read_in_tiles(spark):
+    queries = all_queries()
+    found = queries["corridor_profile"](spark, "/root/testdata/sf0.01").filter("field_id < 'd'")
+    assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().executedPlan().toString()
