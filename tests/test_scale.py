@@ -126,3 +126,13 @@ def test_required_metadata(spark):
         raster.background(pixels, fields, strict).collect()
     with_maps = pixels.withColumn("mean", F.lit(0.5)).withColumn("rms", F.lit(1.5))
     assert raster.metadata_issues(fields, with_maps).count() == 0
+
+
+def test_settings_of_a_write_hold_only_while_it_runs(spark):
+    from fieldlink.lineage import WRITING, settings
+
+    name = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(name)
+    with settings(spark, WRITING):
+        assert spark.conf.get(name) == "8000"
+    assert spark.conf.get(name) == before

@@ -87,3 +87,9 @@ def test_neighbours_at_any_pixel_scale(spark, scale):
     ends = [groups.filter(F.col("group_index") == i).select("field_id", F.col("group_index").alias(f"group_index_{i + 1}"), end(i)) for i in (0, 1)]
     found = seeds.midpoint_cores(ends[0].join(ends[1], "field_id"), groups, CFG).collect()
     assert [(r.midpoint_core_x * scale, r.midpoint_core_y * scale) for r in found] == [pytest.approx((262.0, 300.0))]
+
+
+def test_few_groups_in_one_file_meet_in_several_tasks(spark):
+    table, pairs = seeds.run_seeds(lobes(spark, 80.0).coalesce(1), CFG)
+    assert table.select(F.input_file_name()).distinct().count() > 1
+    assert [r.parent_candidate_id for r in pairs.filter("is_default_candidate").collect()] == ["c0_seed_pc000"]
