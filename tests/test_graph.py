@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fieldlink.config import Config
 from fieldlink.operators.cluster import cluster_components
 from fieldlink.operators.farthest import largest_distance
-from fieldlink.operators.graph import cluster, greedy_matching
+from fieldlink.operators.graph import cluster, coincident_matching, greedy_matching
 from fieldlink.operators.pairs import candidate_pairs
 from fieldlink.operators.ranking import exact_median, running_total
 
@@ -90,6 +90,34 @@ def test_greedy_matching_equals_the_sequential_pass(spark, capacity):
     assert got == want
 
 
+@pytest.mark.parametrize("capacity", [1, 2, 3])
+def test_coincident_points_then_the_rest_equal_the_sequential_pass(spark, capacity):
+    rng = random.Random(capacity)
+    rows = [(f, i, float(rng.randrange(4)), float(rng.randrange(2)), 1.0) for f in range(6) for i in range(40)]
+    points = spark.createDataFrame(rows, "field_id int, component_index long, x double, y double, pixel_scale double")
+    same, free = coincident_matching(points, ["field_id"], "component_index", ["x", "y"], capacity)
+    near = F.pow(F.col("x_2") - F.col("x_1"), 2) + F.pow(F.col("y_2") - F.col("y_1"), 2)
+    found = candidate_pairs(free, Config(), carry=("room",)).filter("x_1 != x_2 OR y_1 != y_2").withColumn("near", near)
+    ends = ["component_index_1", "component_index_2"]
+    rest = greedy_matching(found, ["field_id"], *ends, [F.col("near"), *map(F.col, ends)], capacity, ("room_1", "room_2"))
+    got = [tuple(r) for r in same.unionByName(rest.select("field_id", *ends)).collect()]
+    want, used = set(), {}
+    for f in range(6):
+        mine = [r for r in rows if r[0] == f]
+        for _, i, j in sorted(((a[2] - b[2]) ** 2 + (a[3] - b[3]) ** 2, a[1], b[1]) for a, b in combinations(mine, 2)):
+            if used.get((f, i), 0) < capacity and used.get((f, j), 0) < capacity:
+                want.add((f, i, j))
+                for n in (i, j):
+                    used[f, n] = used.get((f, n), 0) + 1
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_a_crowded_place_is_matched_without_its_pairs(spark):
+    points = spark.range(200_000).select(F.lit(0).alias("f"), F.col("id").alias("n"), F.lit(0.0).alias("x"))
+    same, free = coincident_matching(points, ["f"], "n", ["x"], 2)
+    assert same.count() == 199_998 + 1 and [(r.n, r.room) for r in free.orderBy("n").collect()] == [(199_998, 1), (199_999, 1)]
+
+
 def test_long_chain_is_one_component(spark):
     edges = spark.range(300).select(F.lit("x").alias("k"), F.col("id").alias("s"), (F.col("id") + 1).alias("d"))
     nodes = spark.range(305).select(F.lit("x").alias("k"), F.col("id").alias("n"))
