@@ -19,6 +19,7 @@ import base64
 import functools
 import heapq
 import itertools
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,14 +29,14 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 
 from fieldlink.llm.bpe import PATTERN, gather
-from fieldlink.llm.common import slices
+from fieldlink.llm.common import SLICE_BYTES, slices
 
 #: No pair: above every rank.
 NEVER = np.int32(2**31 - 1)
 #: Upper byte lengths of the buckets.
 WIDTHS = (2, 3, 4, 5, 6, 8, 10, 12, 16, 24, 32, 64, 128, 256)
 #: Cells of a matrix at most, which bounds the memory of a bucket.
-CELLS = 1 << 22
+CELLS = 1 << 18
 
 
 class PairTable:
@@ -171,16 +172,24 @@ class RankBPE:
                 ids, ranks = ids[:, :longest], ranks[:, : max(1, longest - 1)]
 
     def merge_long(self, word: bytes) -> np.ndarray:
-        """One long word: a heap of (rank, place) over a linked list, stale entries skipped."""
-        ids = self.single[np.frombuffer(word, np.uint8)].tolist()
-        n = len(ids)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(rank, i, a, b) for i, (a, b) in enumerate(zip(ids, ids[1:])) if (rank := self.merges.get((a, b))) is not None]
-        heapq.heapify(heap)
+        """One long word: a heap of ranks and places over a linked list, stale entries skipped.
+
+        Both share one number, and the list is of plain 32-bit items, since a word may be a whole text.
+        """
+        start = self.single[np.frombuffer(word, np.uint8)]
+        n = len(start)
+        rank = self.pairs.find(start[:-1], start[1:])
+        place = np.flatnonzero(rank < NEVER)
+        # A sorted list is a heap.
+        heap = np.sort(rank[place].astype(np.int64) << 32 | place).tolist()
+        ids, after, before = (array("i", x.tobytes()) for x in (start, np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)))
+        del start, rank, place
         while heap:
-            rank, i, a, b = heapq.heappop(heap)
+            top = heapq.heappop(heap)
+            rank, i = top >> 32, top & 0xFFFFFFFF
             j = after[i]
-            if ids[i] != a or j >= n or ids[j] != b:
+            # The pair of this rank at this place is always the same one, as ids only grow.
+            if j >= n or self.merges.get((ids[i], ids[j])) != rank:
                 continue
             ids[i], ids[j] = rank, -1
             after[i] = after[j]
@@ -188,8 +197,9 @@ class RankBPE:
                 before[after[i]] = i
             for left, right in ((before[i], i), (i, after[i])):
                 if left >= 0 and right < n and (rank := self.merges.get((ids[left], ids[right]))) is not None:
-                    heapq.heappush(heap, (rank, left, ids[left], ids[right]))
-        return np.array([x for x in ids if x >= 0], np.int32)
+                    heapq.heappush(heap, rank << 32 | left)
+        ids = np.frombuffer(ids, np.int32)
+        return ids[ids >= 0]
 
     # -- whole texts -------------------------------------------------------
 
@@ -230,25 +240,29 @@ class RankBPE:
         apart = np.unique(np.searchsorted(offsets, np.flatnonzero(odd[code]), side="right") - 1)
         for i in np.flatnonzero(odd).tolist():
             fragments[i] = ""
+        del lists, coded, words, bare, inverse
         flat, lens = self._encode_fragments(fragments)
+        del fragments
         ids, ends = gather(flat, lens, code)
-        at = (np.concatenate([[0], ends])[offsets] * 4).tolist()
-        data = ids.astype("<u4").tobytes()
-        out = [data[a:b] for a, b in itertools.pairwise(at)]
+        out = cut(ids.astype("<u4", copy=False), np.concatenate([[0], ends])[offsets] * 4)
+        del ids, ends, code
         if len(apart):
             flat, lens = self._encode_fragments(texts.take(pa.array(apart)).to_pylist())
-            data, at = flat.astype("<u4").tobytes(), (np.concatenate([[0], np.cumsum(lens)]) * 4).tolist()
-            for i, a, b in zip(apart.tolist(), at, at[1:]):
-                out[i] = data[a:b]
+            for i, one in zip(apart.tolist(), cut(flat.astype("<u4", copy=False), np.concatenate([[0], np.cumsum(lens)]) * 4)):
+                out[i] = one
         return out
 
     def decode_batch(self, ids: list[bytes]) -> list[bytes]:
         """The bytes of id sequences."""
         code = np.frombuffer(b"".join(ids), "<u4").astype(np.int64)
         data, ends = gather(self.bytes, self.sizes, code, self.starts)
-        at = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int64)].tolist()
-        data = data.tobytes()
-        return [data[a:b] for a, b in itertools.pairwise(at)]
+        return cut(data, np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int64)])
+
+
+def cut(flat: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """The bytes of an array between each two of the places ``at``."""
+    data = memoryview(flat).cast("B")
+    return [bytes(data[a:b]) for a, b in itertools.pairwise(at.tolist())]
 
 
 def valid_texts(texts: pa.Array) -> pa.Array:
@@ -273,17 +287,31 @@ def encode_ranked(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     Repeated rows and null ids stay as they are, an empty table gives an empty
     one, and only the two named columns are read, so others cannot clash.
     """
+    return _ranked(docs, path, id_col, text_col, decoded=False)
+
+
+def round_trip_ranked(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``encode_ranked`` with a column ``decoded`` (binary), the bytes of the ids, in the same pass.
+
+    ``decode_ranked(encode_ranked(...))`` gives the same bytes, but each of its two passes keeps a Python worker
+    with the whole vocabulary beside every task.
+    """
+    return _ranked(docs, path, id_col, text_col, decoded=True)
+
 
+def _ranked(docs: DataFrame, path: str, id_col: str, text_col: str, decoded: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(path)
         for batch in slices(batches, 1):
             ids = model.encode_batch(batch.column(1))
-            counts = pa.array([len(x) // 4 for x in ids], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), counts, pa.array(ids, pa.binary())], ["_id", "n_tokens", "ids"])
+            columns = [batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
+            if decoded:
+                columns.append(pa.array(model.decode_batch(ids), pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, ["_id", "n_tokens", "ids", "decoded"][: len(columns)])
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
-    return rows.mapInArrow(run, f"_id {kind}, n_tokens long, ids binary").withColumnRenamed("_id", id_col)
+    return rows.mapInArrow(run, f"_id {kind}, n_tokens long, ids binary" + ", decoded binary" * decoded).withColumnRenamed("_id", id_col)
 
 
 def decode_ranked(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
@@ -297,7 +325,8 @@ def decode_ranked(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(path)
-        for batch in slices(batches, len(keep)):
+        # A token may have many bytes for the four of its id.
+        for batch in slices(batches, len(keep), SLICE_BYTES // 8):
             data = model.decode_batch([x or b"" for x in batch.column(len(keep)).to_pylist()])
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(data, pa.binary())], [*(f.name for f in keep), "decoded"])
 

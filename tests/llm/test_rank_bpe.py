@@ -2,6 +2,7 @@
 
 import base64
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -10,7 +11,7 @@ import pyarrow as pa
 import pytest
 import tiktoken
 
-from fieldlink.llm import rank_bpe
+from fieldlink.llm import bpe, rank_bpe
 
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PARTS = ["a", "'s", "'re", "'LL", " ", "  ", "\n", "\t", "é", "ß", "!", "123", " ", "　", "<|endoftext|>", "Ünder", "日本", "😀", "\x1c", "́", "The", "\r\n", "Σ", " x", "abcdefghijk" * 5, "qzx" * 120]
@@ -59,3 +60,55 @@ def test_round_trip_of_odd_rows(spark, library):
     assert bytes(rank_bpe.decode_ranked(rank_bpe.encode_ranked(broken, PATH), PATH).first().decoded) == "a�b".encode()
     with pytest.raises(ValueError):
         rank_bpe.decode_ranked(encoded.withColumnRenamed("n_tokens", "decoded"), PATH)
+
+
+def peak(fn, *args):
+    """What a call gives, and the bytes it held at most."""
+    tracemalloc.start()
+    try:
+        return fn(*args), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_round_trip_in_one_pass(spark, library):
+    docs = spark.createDataFrame(ROWS, "doc_id long, text string, ids string")
+    turned = rank_bpe.round_trip_ranked(docs, PATH)
+    two = rank_bpe.decode_ranked(rank_bpe.encode_ranked(docs, PATH), PATH)
+    want = Counter((i, np.array(library.encode_ordinary(t or ""), "<u4").tobytes(), (t or "").encode()) for i, t, _ in ROWS)
+    assert Counter((r.doc_id, bytes(r.ids), bytes(r.decoded)) for r in turned.collect()) == want
+    assert Counter(map(tuple, turned.select("doc_id", "n_tokens", "decoded").collect())) == Counter(map(tuple, two.collect()))
+
+
+def test_query_keeps_one_worker_beside_a_task(spark, tmp_path):
+    """Memory of op13: every Python step of the plan is a worker of its own in every task."""
+    from fieldlink.llm.queries import LLM_QUERIES
+
+    spark.createDataFrame(ROWS[:3], "doc_id long, text string, ids string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = LLM_QUERIES["op13_rank_bpe_round_trip"](spark, str(tmp_path))
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert found.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and found.count() == 3
+
+
+def test_gathering_needs_little_beside_its_result():
+    rng = np.random.default_rng(3)
+    flat, lens = rng.integers(0, 255, 5000).astype(np.uint8), np.r_[np.zeros(3, np.int64), np.full(996, 4), 1016]
+    code = np.r_[0, rng.integers(0, 999, 1 << 20), 0, 1, np.full(400, 999), 2]
+    (found, ends), most = peak(bpe.gather, flat, lens, code)
+    starts = np.cumsum(lens) - lens
+    assert found.tobytes() == b"".join(flat[starts[c] : starts[c] + lens[c]].tobytes() for c in code.tolist()) and ends[-1] == len(found)
+    held = len(found) + 3 * code.nbytes
+    assert most < held + 6_300_000
+    one, none = bpe.gather(flat, np.array([5000]), np.array([0, 0]))[0], bpe.gather(flat, lens, np.zeros(0, np.int64))
+    assert one.tobytes() == flat.tobytes() * 2 and len(none[0]) == len(none[1]) == 0
+
+
+def test_decoding_and_long_words_are_bounded():
+    ours = rank_bpe.load(PATH)
+    ids = [np.resize(np.arange(1000, 9000), 1 << 20).astype("<u4").tobytes()]
+    found, most = peak(ours.decode_batch, ids)
+    assert most < 4 * len(found[0]) + 24 * (1 << 20)
+    word = bytes(random.Random(4).choices(b"abeinorst", k=200_000))
+    merged, most = peak(ours.merge_long, word)
+    assert b"".join(ours.decode_batch([merged.astype("<u4").tobytes()])) == word
+    assert most < 100 * len(word)
