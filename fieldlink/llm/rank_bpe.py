@@ -18,7 +18,6 @@ from __future__ import annotations
 import base64
 import functools
 import heapq
-import itertools
 from array import array
 from collections.abc import Iterator
 
@@ -28,7 +27,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from fieldlink.llm.bpe import PATTERN, gather
+from fieldlink.llm.bpe import PATTERN, gather, runs
 from fieldlink.llm.common import SLICE_BYTES, slices
 
 #: No pair: above every rank.
@@ -244,11 +243,11 @@ class RankBPE:
         flat, lens = self._encode_fragments(fragments)
         del fragments
         ids, ends = gather(flat, lens, code)
-        out = cut(ids.astype("<u4", copy=False), np.concatenate([[0], ends])[offsets] * 4)
+        out = runs(ids.astype("<u4", copy=False), np.concatenate([[0], ends])[offsets] * 4)
         del ids, ends, code
         if len(apart):
             flat, lens = self._encode_fragments(texts.take(pa.array(apart)).to_pylist())
-            for i, one in zip(apart.tolist(), cut(flat.astype("<u4", copy=False), np.concatenate([[0], np.cumsum(lens)]) * 4)):
+            for i, one in zip(apart.tolist(), runs(flat.astype("<u4", copy=False), np.concatenate([[0], np.cumsum(lens)]) * 4)):
                 out[i] = one
         return out
 
@@ -256,13 +255,7 @@ class RankBPE:
         """The bytes of id sequences."""
         code = np.frombuffer(b"".join(ids), "<u4").astype(np.int64)
         data, ends = gather(self.bytes, self.sizes, code, self.starts)
-        return cut(data, np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int64)])
-
-
-def cut(flat: np.ndarray, at: np.ndarray) -> list[bytes]:
-    """The bytes of an array between each two of the places ``at``."""
-    data = memoryview(flat).cast("B")
-    return [bytes(data[a:b]) for a, b in itertools.pairwise(at.tolist())]
+        return runs(data, np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int64)])
 
 
 def valid_texts(texts: pa.Array) -> pa.Array:

@@ -41,6 +41,37 @@ def test_round_trip_of_odd_rows(docs):
     assert Counter((r.doc_id, r.decoded) for r in got) == Counter((i, t or "") for i, t, _ in ROWS)
 
 
+def test_round_trip_in_one_pass(docs, spark, tmp_path):
+    """Memory of op2: every Python step of the plan is a worker of its own in every task."""
+    from fieldlink.llm.queries import LLM_QUERIES
+
+    library = Tokenizer.from_file(BYTE)
+    turned = bpe.round_trip_documents(docs, BYTE)
+    want = [library.encode(t or "", add_special_tokens=False).ids for _, t, _ in ROWS]
+    assert Counter((r.doc_id, r.n_tokens, bytes(r.ids), r.decoded) for r in turned.collect()) == Counter(
+        (i, len(w), np.array(w, "<u4").tobytes(), library.decode(w, skip_special_tokens=False)) for (i, _, _), w in zip(ROWS, want)
+    )
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    found = LLM_QUERIES["op2_bpe_round_trip"](spark, str(tmp_path))
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1 and found.count() == len(ROWS)
+
+
+def test_long_part_merges_like_the_library_in_bounded_memory():
+    import tracemalloc
+
+    ours, library, rng = bpe.load(BYTE), Tokenizer.from_file(BYTE), random.Random(4)
+    for n in (41, 60, 500, 3000):
+        word = "".join(rng.choices("abeinorst", k=n))
+        assert ours.merge_long(word.encode()).tolist() == library.encode(word, add_special_tokens=False).ids
+    word = bytes(rng.choices(b"abeinorst", k=200_000))
+    tracemalloc.start()
+    try:
+        ours.merge_long(word)
+        assert tracemalloc.get_traced_memory()[1] < 100 * len(word)
+    finally:
+        tracemalloc.stop()
+
+
 def test_prefix_counts_equal_library():
     library, ours = Tokenizer.from_file(WORD), token_counts.load(WORD)
     some = texts(3000, 2)
