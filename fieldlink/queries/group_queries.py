@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from fieldlink import fixtures as fx
-from fieldlink.lineage import cut
+from fieldlink.lineage import cut, measured_joins
 from fieldlink.operators import cluster, measure
 from fieldlink.operators.graph import cluster as graph_cluster
 from fieldlink.queries.base import cte, query, rounded, settled, settled_sql, shared
@@ -70,9 +70,10 @@ def linking_edges(spark, sf):
 
 @shared
 def clustered(spark, sf):
-    edges = linking_edges(spark, sf)
-    decided, members, groups = cluster.cluster_components(fx.components(spark, sf), edges, fx.WIDE)
-    return cut(decided), cut(members), cut(groups)
+    with measured_joins(spark):
+        edges = linking_edges(spark, sf)
+        decided, members, groups = cluster.cluster_components(fx.components(spark, sf), edges, fx.WIDE)
+        return cut(decided), cut(members), cut(groups)
 
 
 @query("weak_attachment", """
@@ -92,7 +93,8 @@ def association_group_sizes(spark, sf):
 SELECT m.field_id, m.component_index, m.gid, g.association_group_id FROM w_members m JOIN w_groups g USING (field_id, gid)""", ("w_members", "w_groups"))
 def group_membership(spark, sf):
     _, members, groups = clustered(spark, sf)
-    return members.join(groups.select("field_id", "gid", "association_group_id"), ["field_id", "gid"])
+    with measured_joins(spark):
+        return cut(members.join(groups.select("field_id", "gid", "association_group_id"), ["field_id", "gid"]))
 
 
 @query("unconstrained_groups", """

@@ -31,6 +31,21 @@ def test_matching_plans_no_broadcast(spark, monkeypatch):
     assert out.count() == 13891
 
 
+def test_membership_plans_no_broadcast(spark, monkeypatch):
+    queries = all_queries()
+    from fieldlink.operators import cluster, graph
+    from fieldlink.queries import group_queries
+    from fieldlink.queries.base import forget
+
+    forget()
+    seen = plans_of(monkeypatch, graph, cluster, group_queries)
+    out = queries["group_membership"](spark, "/root/testdata/sf0.001")
+    assert sum("Join" in p for p in seen) > 3
+    assert not any("BroadcastHashJoin" in p for p in seen)
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.count() == 1500
+
+
 def test_measured_joins_keep_the_limit_of_the_session(spark):
     names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
     before = [spark.conf.get(n, None) for n in names]
