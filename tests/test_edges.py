@@ -34,3 +34,21 @@ def test_unusable_flux_is_missing_evidence(spark, bad):
     edges = bar_edges(spark, ((bad, bad), (9.0, 7.0), (8.0, 6.0)))
     row = edges.filter("component_index_1 = 0 and component_index_2 = 1").first()
     assert row.flux_ratio is None and row.flux_continuity_score == 0.0 and row.association_score is not None
+
+
+def test_batches_without_a_sample_join_others(monkeypatch):
+    import pyarrow as pa
+
+    from fieldlink import fixtures as fx
+    from fieldlink.operators import paths
+
+    monkeypatch.setattr(paths, "BATCH", 1)
+    # The first corridor runs along pixels and the second leaves them at once; the third is outside.
+    ends = {"x_1": [0.0, 0.1, 50.0], "y_1": [0.0, 0.1, 50.0], "x_2": [4.0, 4.3, 52.0], "y_2": [0.0, 3.2, 51.0]}
+    rest = {"pixel_scale": 1.0, "width": 9, "height": 9, "_amp_1": 0.0, "_amp_2": 0.0, "_half_bridge": 1.0, "_half_residual": 0.0, "_exclude": 0.0, "_x0": 0.0, "_y0": 0.0}
+    pairs = pa.table({**ends, **{c: [v] * 3 for c, v in rest.items()}})
+    spots = [(y, x) for y in range(9) for x in range(9)]
+    tile = pa.table({"ys": [[y for y, _ in spots]], "xs": [[x for _, x in spots]], "values": [[float(x) for _, x in spots]]})
+    found = paths._reader(fx.SMALL)(pairs, tile).to_pydict()
+    assert found["nr"] == [5, 0, 0] and found["r_sum"] == [10.0, None, None]
+    assert found["nb"][0] == 10 and found["nb"][2] == 0 and found["b_max"] == [4.0, 4.0, None]
